@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 from .media_gif import text_media
+from .nnpu import score_toxicity
 from .packing import pack
+from .subword import score_quality
 
 
 def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +21,18 @@ def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op9_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op3_gif_media": op3_gif_media,
     "op5_vector_packing": op5_vector_packing,
+    "op7_subword_quality": op7_subword_quality,
+    "op9_nnpu_toxicity": op9_nnpu_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
