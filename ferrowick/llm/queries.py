@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .blocks import main_text
 from .common import read
 from .media_gif import text_media
 from .nnpu import score_toxicity
@@ -29,10 +30,15 @@ def op9_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op10_block_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op3_gif_media": op3_gif_media,
     "op5_vector_packing": op5_vector_packing,
     "op7_subword_quality": op7_subword_quality,
     "op9_nnpu_toxicity": op9_nnpu_toxicity,
+    "op10_block_lstm": op10_block_lstm,
 }
 ORACLE_SQL: dict[str, str] = {}
