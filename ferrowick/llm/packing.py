@@ -18,6 +18,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,19 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_TOKENS, MAX_SEGMENTS, POOL = 4096, 256, 384
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+_ODD = re.compile("[^0-9A-Za-zÀ-ÖØ-öø-ÿ \\n][.,]")  # a stop or comma that may be inside a run of signs
+_TOKENIZERS: dict[str, WordTokenizer] = {}  # of this worker; a cache outlives its task
 
 
 class WordTokenizer:
     """Ids of whole texts by a lower-casing, space-dropping word BPE file, through a bounded word cache.
 
-    Spaces and line feeds always end a word of this tokenizer, so ids of a text are the ids of
-    its pieces between them, joined; each distinct piece is encoded once while it is cached.
-    Plain Latin words go to the bare model (lowered and split from their punctuation here); all
-    else goes through the whole tokenizer.
+    Spaces and line feeds always end a word of this tokenizer, and so does the step from a letter
+    or digit to a stop or comma; ids of a text are the ids of its pieces between these, joined.
+    Each distinct piece is encoded once while it is cached: plain lower-case Latin words by the
+    bare model, all else by the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -55,44 +57,53 @@ class WordTokenizer:
         self.most = most
         self._clear()
 
+    @classmethod
+    def of(cls, path: str) -> WordTokenizer:
+        if path not in _TOKENIZERS:
+            _TOKENIZERS[path] = cls(path)
+        return _TOKENIZERS[path]
+
     def _clear(self) -> None:
         self.words: dict[str, int] = {"": 0}
-        self.base: dict[str, list[int]] = {}
-        self.flat, self.off, self.len = array("I"), array("q", [0]), array("q", [0])
+        self.flat, self.off, self.len = array("I", [0]), array("q", [0]), array("q", [0])
 
     def _learn(self, words: list[str]) -> None:
-        plain, parts = [], []
-        for w in words:
-            m = _WORD.fullmatch(w)
-            parts.append((m[1].lower(), m[2]) if m else (None, w))
-        new = [b for b in dict.fromkeys(b for b, _ in parts) if b is not None and b not in self.base]
-        self.base.update(zip(new, (e.ids for e in self.bare.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        rest = [w for w in dict.fromkeys(w for _, w in parts) if w not in self.base]
-        self.base.update(zip(rest, (e.ids for e in self.full.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
-        for w, (b, tail) in zip(words, parts, strict=True):
-            ids = self.base[tail] if b is None else self.base[b] + self.base[tail] if tail else self.base[b]
-            self.words[w] = len(self.off)
-            self.off.append(len(self.flat))
-            self.len.append(len(ids))
-            self.flat.extend(ids)
+        plain = [w for w in words if w.isalpha() and w.islower() and (w.isascii() or max(w) <= "ÿ")]
+        known = set(plain)
+        rest = [w for w in words if w not in known]
+        for tok, part in ((self.bare, plain), (self.full, rest)):
+            ids = [e.ids for e in tok.encode_batch_fast(part, add_special_tokens=False)]
+            first, sizes = len(self.off), np.fromiter(map(len, ids), np.int64, len(ids))
+            self.off.frombytes((len(self.flat) + np.cumsum(sizes) - sizes).tobytes())
+            self.len.frombytes(sizes.tobytes())
+            self.flat.extend(chain.from_iterable(ids))
+            self.words.update(zip(part, range(first, first + len(part)), strict=True))
+
+    @staticmethod
+    def _pieces(text: str) -> list[str]:
+        text = text.replace("\n", " ")
+        if text.isascii() or max(text) <= "ÿ":
+            text = text.lower()
+            if not _ODD.search(text):
+                text = text.replace(".", " .").replace(",", " ,")
+        return text.split(" ")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.words) > self.most:
             self._clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [self._pieces(t) for t in texts]
         seen: set[str] = set()
         for words in split:
             seen.update(words)
         if new := [w for w in seen if w not in self.words]:
             self._learn(new)
-        flat, off, size = (np.frombuffer(x, d) for x, d in ((self.flat or array("I", [0]), np.uint32), (self.off, np.int64), (self.len, np.int64)))
-        get, out = self.words.__getitem__, []
-        for words in split:
-            at = np.fromiter(map(get, words), np.int64, len(words))
-            n = size[at]
-            ends = np.cumsum(n)
-            out.append(flat[np.repeat(off[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)])
-        return out
+        flat, off, size = (np.frombuffer(x, d) for x, d in ((self.flat, np.uint32), (self.off, np.int64), (self.len, np.int64)))
+        at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        n = size[at]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(off[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        cut = np.cumsum([len(w) for w in split])[:-1]
+        return np.split(ids, ends[cut - 1]) if len(split) > 1 else [ids]
 
 
 class Packer:
@@ -109,13 +120,6 @@ class Packer:
     def _size(self, start: int, end: int, loss_from: int) -> tuple[int, int, int]:
         return end - start, 1, max(0, end - max(start, loss_from))
 
-    def _fit(self, start: int, end: int, loss_from: int, room: np.ndarray) -> int:
-        """The longest length of the piece from ``start`` that the room allows."""
-        if room[1] < 1:
-            return 0
-        free = max(0, min(end, loss_from) - start)
-        return int(min(end - start, room[0], free + room[2]))
-
     def put(self, item: int, length: int, loss_from: int = 0) -> Iterator[list[tuple[int, int, int]]]:
         start, most = 0, int(min(self.limit[0], self.limit[2]))
         while length - start > most:
@@ -151,14 +155,17 @@ class Packer:
             open_[k] = False
             room -= sizes[k]
         rest = [x for x, o in zip(self.items, open_, strict=True) if o]
-        if room[0] > 0 and rest and (i := max(range(len(rest)), key=lambda j: self._fit(*rest[j][1:], room))) >= 0 and (n := self._fit(*rest[i][1:], room)) > 0:
-            item, start, end, loss_from = rest[i]
-            bin_.append((item, start, n, loss_from))
-            room[0] -= n
-            if start + n < end:
-                rest[i] = (item, start + n, end, loss_from)
-            else:
-                del rest[i]
+        if rest and room[0] > 0 and room[1] > 0:
+            left = sizes[open_]
+            part = np.minimum(left[:, 0], np.minimum(room[0], left[:, 0] - left[:, 2] + room[2]))  # what the room takes of each
+            i = int(part.argmax())
+            if n := int(part[i]):
+                item, start, end, loss_from = rest[i]
+                bin_.append((item, start, n, loss_from))
+                if start + n < end:
+                    rest[i] = (item, start + n, end, loss_from)
+                else:
+                    del rest[i]
         total = sum(x[2] for x in bin_)
         if not total:
             raise AssertionError("a waiting piece fits no empty bin")
@@ -194,7 +201,7 @@ def pack(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "t
     cols = [F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"), (F.col(prompt).cast("string") if prompt else F.lit(None).cast("string")).alias("_prompt")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, packer = WordTokenizer(tokenizer_path), Packer(max_tokens, max_segments, max_loss)
+        tok, packer = WordTokenizer.of(tokenizer_path), Packer(max_tokens, max_segments, max_loss)
         base, made, n = TaskContext.get().partitionId() << 32, 0, 0
         docs: dict[int, list] = {}  # item -> [key as a one-row array, ids, loss_from, ids not yet out]
         key_type, rows = None, []
