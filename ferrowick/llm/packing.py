@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_TOKENS, MAX_SEGMENTS, POOL = 4096, 256, 384
+MAX_TOKENS, MAX_SEGMENTS, POOL = 4096, 256, 128
 _ODD = re.compile("[^0-9A-Za-zÀ-ÖØ-öø-ÿ \\n][.,]")  # a stop or comma that may be inside a run of signs
 _TOKENIZERS: dict[str, WordTokenizer] = {}  # of this worker; a cache outlives its task
 
