@@ -6,22 +6,34 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .blocks import main_text
 from .common import read
+from .decontaminate import contaminated
 from .media_gif import text_media
 from .nnpu import score_toxicity
 from .packing import pack
 from .subword import score_quality
+from .url_templates import oracle_sql as url_sql
+from .url_templates import url_filter
 
 
 def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(read(spark, sf_dir, "documents"))
 
 
+def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(read(spark, sf_dir, "pages"))
+
+
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "windows", "first_word", "last_word", "exact").distinct()
+
+
 def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -36,9 +48,11 @@ def op10_block_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_gif_media": op3_gif_media,
+    "op4_url_templates": op4_url_templates,
     "op5_vector_packing": op5_vector_packing,
+    "op6_template_decontamination": op6_template_decontamination,
     "op7_subword_quality": op7_subword_quality,
     "op9_nnpu_toxicity": op9_nnpu_toxicity,
     "op10_block_lstm": op10_block_lstm,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_url_templates": url_sql()}
