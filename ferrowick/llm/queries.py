@@ -10,6 +10,7 @@ from .decontaminate import contaminated
 from .media_gif import text_media
 from .nnpu import score_toxicity
 from .packing import pack
+from .quotes import link_quotes
 from .subword import score_quality
 from .url_templates import oracle_sql as url_sql
 from .url_templates import url_filter
@@ -38,6 +39,10 @@ def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotes(read(spark, sf_dir, "conversations"))
+
+
 def op9_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -52,6 +57,7 @@ QUERIES = {
     "op5_vector_packing": op5_vector_packing,
     "op6_template_decontamination": op6_template_decontamination,
     "op7_subword_quality": op7_subword_quality,
+    "op8_quotation_linking": op8_quotation_linking,
     "op9_nnpu_toxicity": op9_nnpu_toxicity,
     "op10_block_lstm": op10_block_lstm,
 }
