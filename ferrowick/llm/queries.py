@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .blocks import main_text
 from .common import read
 from .decontaminate import contaminated
+from .line_dedup import dedup_lines
 from .media_gif import text_media
 from .nnpu import score_toxicity
 from .packing import pack
@@ -16,6 +18,11 @@ from .url_templates import oracle_sql as url_sql
 from .url_templates import url_filter
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "lines_cut", F.length("text").cast("long").alias("kept_chars"), F.md5(F.encode("text", "UTF-8")).alias("kept_md5"))
+
+
 def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(read(spark, sf_dir, "documents"))
 
@@ -52,6 +59,7 @@ def op10_block_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_gif_media": op3_gif_media,
     "op4_url_templates": op4_url_templates,
     "op5_vector_packing": op5_vector_packing,
