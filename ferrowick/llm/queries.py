@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .blocks import main_text
 from .common import read
 from .decontaminate import contaminated
+from .jaccard_join import jaccard_components
 from .line_dedup import dedup_lines
 from .media_gif import text_media
 from .nnpu import score_toxicity
@@ -23,6 +24,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lines_cut", F.length("text").cast("long").alias("kept_chars"), F.md5(F.encode("text", "UTF-8")).alias("kept_md5"))
 
 
+def op2_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(read(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ def op10_block_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_jaccard_groups": op2_jaccard_groups,
     "op3_gif_media": op3_gif_media,
     "op4_url_templates": op4_url_templates,
     "op5_vector_packing": op5_vector_packing,
