@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, components
+from .common import Workspace, components, free_name
 
 WORDS, PERCENT = 4, 85
 FEW = 8
@@ -320,3 +320,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     of = ws.save(joined.join(least, "root").select("f1", "f2", "component_id", "class_size"), "of")
     out = sets.join(of, ["f1", "f2"], "left")
     return out.select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_key")).alias("component_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+
+
+def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each component of similar texts: that of the least key (nulls last), the
+    first in the input among equal ones. Rows without words all stay; columns stay as they are."""
+    ws = Workspace(docs.sparkSession, "near")
+    rid, by = free_name(docs, "_rid"), "_by"
+    rows = ws.save(docs.withColumn(rid, F.monotonically_increasing_id()), "rows")
+    place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(rid).alias("rid"))
+    found = jaccard_components(rows.select(place.alias(by), F.col(text).alias("text")), by, "text", words, percent)
+    kept = found.where(F.col(by)["rid"] == F.col("component_id")["rid"])
+    return rows.join(kept.select(F.col(by)["rid"].alias(rid)), rid, "left_semi").select(docs.columns)

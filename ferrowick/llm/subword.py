@@ -13,6 +13,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -143,27 +144,35 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
     return [(r["_text"], int(r["_label"])) for r in got.select("_text", "_label").toLocalIterator()]
 
 
+def scorer(table: np.ndarray, bias: float) -> Callable[[list[str | None]], list[float]]:
+    """Scores of lists of texts, through a cache of word values."""
+    table = table.astype(np.float64)
+
+    def learn(words: list[bytes]) -> np.ndarray:
+        ids, feats = subwords(words, len(table))
+        return np.bincount(ids, table[feats], len(words)) / np.bincount(ids, minlength=len(words))
+
+    cache = WordValues(learn)
+
+    def score(texts: list[str | None]) -> list[float]:
+        out = []
+        for places in cache.of([(t or "").encode("utf-8", "surrogatepass").split() for t in texts]):
+            repeats = int((places[1:] == places[:-1]).sum())
+            z = bias + ((cache.values[places].sum() + repeats * table[REPEAT]) / (len(places) + repeats) if len(places) else 0.0)
+            out.append(float(1 / (1 + np.exp(-np.clip(z, -60, 60)))))
+        return out
+
+    return score
+
+
 def score_subwords(df: DataFrame, table: np.ndarray, bias: float, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score): the softmax's share of class 1 for every whole text."""
     cast = df.sparkSession.sparkContext.broadcast((table.astype(np.float32), bias))  # of fixed size: one number a bucket
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, bias = cast.value
-        table = table.astype(np.float64)
-
-        def learn(words: list[bytes]) -> np.ndarray:
-            ids, feats = subwords(words, len(table))
-            return np.bincount(ids, table[feats], len(words)) / np.bincount(ids, minlength=len(words))
-
-        cache = WordValues(learn)
+        score = scorer(*cast.value)
         for b in batches:
-            scores = []
-            for at in range(0, b.num_rows, 256):
-                texts = [(t or "").encode("utf-8", "surrogatepass").split() for t in b.column(1).slice(at, 256).to_pylist()]
-                for places in cache.of(texts):
-                    repeats = int((places[1:] == places[:-1]).sum())
-                    z = bias + ((cache.values[places].sum() + repeats * table[REPEAT]) / (len(places) + repeats) if len(places) else 0.0)
-                    scores.append(1 / (1 + np.exp(-np.clip(z, -60, 60))))
+            scores = [x for at in range(0, b.num_rows, 256) for x in score(b.column(1).slice(at, 256).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], [key, "score"])
 
     kind = dict(df.dtypes)[key]
@@ -188,3 +197,21 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     table, bias = train_quality(docs, labels, key, text, rows=rows)
     scored = score_subwords(docs, table, bias, key, text)
     return scored.select(F.col(key), held_out(F.col(key), 5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs whose text scores ``threshold`` or more, with all their columns, in one pass.
+
+    Nulls, empty texts and repeats are judged as in ``score_quality``; without labelled rows all stay.
+    """
+    table, bias = train_quality(docs, labels, key, text, rows=rows)
+    cast = docs.sparkSession.sparkContext.broadcast((table.astype(np.float32), bias))
+
+    @F.pandas_udf("boolean")
+    def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        table, bias = cast.value
+        score = scorer(table, bias)
+        for s in batches:
+            yield pd.Series(np.array(score(s.tolist())) >= threshold)
+
+    return docs.where(good(F.col(text).cast("string")))
