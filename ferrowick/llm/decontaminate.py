@@ -1,9 +1,8 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Numbers, mid-sentence names and units after numbers become typed placeholders that keep their
-value beside the type. Windows of WINDOW template words (placeholders count by type) are hashed by
-doubling: the hash of 2k words joins the hashes of k words at k words' distance. Benchmark windows
-with enough literal words are hash-joined to document windows; hits are gathered by document, item
+value beside the type. Windows of WINDOW template words (placeholders count by type) are hashed
+from the hashes of their words. Benchmark windows with enough literal words are hash-joined to document windows; hits are gathered by document, item
 and offset, and a hit region stands only if its slots are consistent: within a type, one value of
 the item always meets one value of the document and the other way round. So a question is found
 again when its numbers or names were changed throughout.
@@ -21,33 +20,28 @@ WINDOW, LITERALS, RUN = 8, 4, 13
 UNITS = ("kg", "g", "mg", "km", "m", "cm", "mm", "mi", "mile", "miles", "ft", "feet", "foot", "in", "inch", "inches", "yd", "yards", "l", "ml", "litre", "litres", "liter", "liters", "s", "sec", "seconds", "min", "minutes", "h", "hr", "hours", "hour", "day", "days", "week", "weeks", "month", "months", "year", "years", "percent", "usd", "eur", "dollars", "euros", "pounds", "lb", "lbs", "oz", "mph", "kmh", "hz", "khz", "mhz", "w", "kw", "v", "kb", "mb", "gb", "tb")
 
 
-def tokens(text: Column) -> Column:
-    """Template words of a text; a placeholder is qqnu, qqna or qqun before its value. Null and blank texts have none."""
-    t = F.coalesce(text, F.lit(""))
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;]\s)(\p{Lu}\p{Ll}+)", "qqna$1")
-    t = F.lower(t)
-    t = F.regexp_replace(t, r"(?<=[0-9])[.,:/](?=[0-9])", "x")
+def with_tokens(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with the template words of string column ``text`` as ``out``, in place of it; a placeholder is
+    qqnu, qqna or qqun before its value. Null and blank texts have none.
+
+    Each step is a column of its own: an expression that is used twice would be worked out twice.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    df = df.withColumn(text, F.lower(F.regexp_replace(t, r"(?<=[\p{L}\p{N},;]\s)(\p{Lu}\p{Ll}+)", "qqna$1")))
+    t = F.regexp_replace(F.col(text), r"(?<=[0-9])[.,:/](?=[0-9])", "x")
     t = F.regexp_replace(t, r"([0-9][0-9x]*)", " qqnu$1 ")
     t = F.regexp_replace(t, r"(qqnu[0-9x]+)\s+(" + "|".join(UNITS) + r")(?![\p{L}\p{N}])", "$1 qqun$2")
-    t = F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
-
-
-def _kind(w: Column) -> Column:
-    return F.when(w.startswith("qq"), F.substring(w, 1, 4)).otherwise(w)
-
-
-def window_hashes(words: Column) -> Column:
-    """Hashes of all windows of WINDOW words (8: three doublings), by the words' types; empty for shorter arrays."""
-    h, k = F.transform(words, lambda w: F.xxhash64(_kind(w))), 1
-    while k < WINDOW:
-        h = F.zip_with(h, F.slice(h, k + 1, F.greatest(F.size(h), F.lit(1))), lambda a, b: F.xxhash64(a, b))
-        k *= 2
-    return F.slice(h, 1, F.greatest(F.size(words) - (WINDOW - 1), F.lit(0)))
+    df = df.withColumn(text, F.when(F.col(text).rlike("[0-9]"), t).otherwise(F.col(text)))
+    return df.withColumn(out, F.array_remove(F.split(text, r"[^\p{L}\p{N}]+"), "")).drop(text)
 
 
-def _slots(words: Column, first: Column, n: Column) -> Column:
-    return F.slice(words, first + 1, n)
+def with_windows(df: DataFrame, words: str, out: str) -> DataFrame:
+    """df with the hashes of all windows of WINDOW words, by the words' types; empty for shorter arrays."""
+    h = free_name(df, "_h")
+    kind = lambda w: F.when(w.startswith("qq"), F.substring(w, 1, 4)).otherwise(w)
+    df = df.withColumn(h, F.transform(words, lambda w: F.xxhash64(kind(w))))
+    starts = F.slice(h, 1, F.greatest(F.size(h) - (WINDOW - 1), F.lit(0)))
+    return df.withColumn(out, F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, WINDOW)]))).drop(h)
 
 
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
@@ -55,8 +49,8 @@ def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "
 
     Items shorter than WINDOW words have no window and match nothing. Null texts likewise.
     """
-    w = benchmark.select(F.col(item).alias("item"), tokens(F.col(text).cast("string")).alias("w")).where(F.size("w") >= WINDOW).distinct()
-    w = w.select("item", "w", F.posexplode(window_hashes(F.col("w"))).alias("ipos", "h"))
+    w = with_tokens(benchmark.select(F.col(item).alias("item"), F.col(text).cast("string").alias("t")), "t", "w").where(F.size("w") >= WINDOW).distinct()
+    w = with_windows(w, "w", "hs").select("item", "w", F.posexplode_outer("hs").alias("ipos", "h")).where("h is not null")
     literal = F.size(F.filter(F.slice("w", F.col("ipos") + 1, WINDOW), lambda x: ~x.startswith("qq")))
     w = w.where(literal >= LITERALS)
     need = F.least(F.size("w") - (WINDOW - 1), F.lit(RUN - WINDOW + 1))
@@ -76,7 +70,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     ws = Workspace(docs.sparkSession, "leaks")
     bench = ws.save(benchmark_windows(benchmark, item), "windows")
     base = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("t"))
-    hits = base.select("k", "th", F.posexplode(window_hashes(tokens(F.col("t")))).alias("pos", "h"))
+    hits = with_windows(with_tokens(base, "t", "w"), "w", "hs").select("k", "th", F.posexplode_outer("hs").alias("pos", "h"))  # outer: else a filter on the array works it out a second time
     hits = hits.join(bench, "h")  # Spark broadcasts the benchmark's windows only below its own size limit
     regions = hits.groupBy("k", "th", "item", "need", (F.col("pos") - F.col("ipos")).alias("shift")).agg(
         F.countDistinct("ipos").alias("n"), F.min("ipos").alias("lo"), F.max("ipos").alias("hi"))
@@ -86,8 +80,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     # the regions' slots: only documents with a likely region are read again
     who = regions.select(F.col("k").alias("rk"), F.col("th").alias("rth")).distinct()
     texts = base.join(who, F.col("k").eqNullSafe(F.col("rk")) & F.col("th").eqNullSafe(F.col("rth")), "left_semi").distinct()
-    texts = ws.save(texts.select(F.col("k").alias("dk"), F.col("th").alias("dth"), tokens(F.col("t")).alias("dw")), "texts")
-    items = benchmark.select(F.col(item).alias("bi"), tokens(F.col("text").cast("string")).alias("bw")).distinct()
+    texts = ws.save(with_tokens(texts.withColumnsRenamed({"k": "dk", "th": "dth"}), "t", "dw"), "texts")
+    items = with_tokens(benchmark.select(F.col(item).alias("bi"), F.col("text").cast("string").alias("t")), "t", "bw").distinct()
     r = regions.join(texts, F.col("k").eqNullSafe(F.col("dk")) & F.col("th").eqNullSafe(F.col("dth"))).join(items, F.col("item").eqNullSafe(F.col("bi")))
     n = F.col("hi") - F.col("lo") + WINDOW
     both = F.arrays_zip(F.slice("bw", F.col("lo") + 1, n).alias("b"), F.slice("dw", F.col("lo") + F.col("shift") + 1, n).alias("d"))
