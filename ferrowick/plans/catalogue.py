@@ -205,7 +205,7 @@ add("combine_first", lambda t: rel.combine_first(t.events.select("event_id", F.e
 
 ev = lambda t: Ordered(t.events.select("event_id", F.expr(HOLES).alias("h")), "event_id")
 E_SQL = f"(SELECT event_id, {HOLES} AS h FROM events)"
-H = F.col("h")
+H = lambda: F.col("h")
 
 
 def ordered(name: str, f: Callable[[Ordered], DataFrame], sql: str, digits: int | None = None, out: str = "v") -> None:
@@ -216,23 +216,23 @@ def ordered(name: str, f: Callable[[Ordered], DataFrame], sql: str, digits: int
 
 UP = "OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 for name, agg, digits in (("cumsum", "sum", 3), ("cummin", "min", None), ("cummax", "max", None)):
-    ordered(name, lambda o, name=name: getattr(o, name)(H, "v"), f"CASE WHEN h IS NOT NULL THEN {agg}(h) {UP} END", digits)
-add("cumprod", lambda t: Ordered(t.events.select("event_id", (1 + F.col("value") / 1e6).alias("h")), "event_id").cumprod(H, "v").select("event_id", F.round("v", 6).alias("v")),
+    ordered(name, lambda o, name=name: getattr(o, name)(H(), "v"), f"CASE WHEN h IS NOT NULL THEN {agg}(h) {UP} END", digits)
+add("cumprod", lambda t: Ordered(t.events.select("event_id", (1 + F.col("value") / 1e6).alias("h")), "event_id").cumprod(H(), "v").select("event_id", F.round("v", 6).alias("v")),
     f"SELECT event_id, round(exp(sum(ln(1 + value / 1e6)) {UP}), 6) AS v FROM events")
-ordered("ffill", lambda o: o.ffill(H, "v"), f"last_value(h IGNORE NULLS) {UP}")
-ordered("bfill", lambda o: o.bfill(H, "v"), "first_value(h IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")
-ordered("ffill_limit", lambda o: o.ffill(H, "v", limit=1), "last_value(h IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)")
-ordered("shift_1", lambda o: o.shift(H, 1, "v"), "lag(h, 1) OVER (ORDER BY event_id)")
-ordered("shift_neg", lambda o: o.shift(H, -2, "v"), "lead(h, 2) OVER (ORDER BY event_id)")
-ordered("shift_fill", lambda o: o.shift(H, 3, "v", fill=0.0), "lag(h, 3, 0.0::DOUBLE) OVER (ORDER BY event_id)")
-ordered("diff", lambda o: o.diff(H, 2, "v"), "h - lag(h, 2) OVER (ORDER BY event_id)", 6)
-ordered("pct_change", lambda o: o.pct_change(H, 1, "v"), "(h - lag(h) OVER (ORDER BY event_id)) / lag(h) OVER (ORDER BY event_id)", 6)
+ordered("ffill", lambda o: o.ffill(H(), "v"), f"last_value(h IGNORE NULLS) {UP}")
+ordered("bfill", lambda o: o.bfill(H(), "v"), "first_value(h IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")
+ordered("ffill_limit", lambda o: o.ffill(H(), "v", limit=1), "last_value(h IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)")
+ordered("shift_1", lambda o: o.shift(H(), 1, "v"), "lag(h, 1) OVER (ORDER BY event_id)")
+ordered("shift_neg", lambda o: o.shift(H(), -2, "v"), "lead(h, 2) OVER (ORDER BY event_id)")
+ordered("shift_fill", lambda o: o.shift(H(), 3, "v", fill=0.0), "lag(h, 3, 0.0::DOUBLE) OVER (ORDER BY event_id)")
+ordered("diff", lambda o: o.diff(H(), 2, "v"), "h - lag(h, 2) OVER (ORDER BY event_id)", 6)
+ordered("pct_change", lambda o: o.pct_change(H(), 1, "v"), "(h - lag(h) OVER (ORDER BY event_id)) / lag(h) OVER (ORDER BY event_id)", 6)
 for how, agg in (("sum", "sum(h)"), ("mean", "avg(h)"), ("min", "min(h)"), ("max", "max(h)"), ("count", "count(h)"), ("std", "stddev_samp(h)"), ("var", "var_samp(h)"), ("median", "median(h)")):
     R = "OVER (ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
     gate = f"count(*) {R} >= 3" if how == "count" else f"count(h) {R} >= 3"
-    ordered(f"rolling_{how}", lambda o, how=how: o.rolling(H, 5, how, 3, name="v"), f"CASE WHEN {gate} THEN {agg} {R} END", None if how in ("min", "max", "count") else 7)
-ordered("rolling_min_periods_1", lambda o: o.rolling(H, 4, "sum", 1, name="v"), "sum(h) OVER (ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)", 6)
-ordered("rolling_center", lambda o: o.rolling(H, 4, "max", 1, center=True, name="v"), "max(h) OVER (ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)")
+    ordered(f"rolling_{how}", lambda o, how=how: o.rolling(H(), 5, how, 3, name="v"), f"CASE WHEN {gate} THEN {agg} {R} END", None if how in ("min", "max", "count") else 7)
+ordered("rolling_min_periods_1", lambda o: o.rolling(H(), 4, "sum", 1, name="v"), "sum(h) OVER (ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)", 6)
+ordered("rolling_center", lambda o: o.rolling(H(), 4, "max", 1, center=True, name="v"), "max(h) OVER (ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)")
 add("rank_average", lambda t: Ordered(t.events.select("event_id", "user_id"), "event_id").rank("user_id", "v"), "SELECT event_id, user_id, rank() OVER (ORDER BY user_id) + (count(*) OVER (PARTITION BY user_id) - 1) / 2.0::DOUBLE AS v FROM events")
 add("argsort", lambda t: Ordered(t.events.select("event_id", F.col("user_id").alias("u")), "event_id").argsort("u"), "SELECT row_number() OVER (ORDER BY event_id) - 1 AS position FROM events")
 
@@ -241,12 +241,12 @@ add("argsort", lambda t: Ordered(t.events.select("event_id", F.col("user_id").al
 for name in ("year", "month", "day", "hour", "minute", "second", "dayofweek", "quarter", "dayofyear"):
     sql = {"dayofweek": "isodow(ts) - 1", "second": "CAST(floor(second(ts)) AS BIGINT)"}.get(name, f"{name}(ts)")
     column(f"dt_{name}", "events", "event_id", lambda name=name: dt.part(name, "ts"), sql)
-BASE = F.lit("2020-01-01").cast("timestamp_ntz")
+BASE = lambda: F.lit("2020-01-01").cast("timestamp_ntz")
 for name, f, sql in (
-    ("dt_sub_dt", lambda: dt.micros(dt.difference("ts", BASE)), "epoch_us(ts) - epoch_us(TIMESTAMP '2020-01-01')"),
+    ("dt_sub_dt", lambda: dt.micros(dt.difference("ts", BASE())), "epoch_us(ts) - epoch_us(TIMESTAMP '2020-01-01')"),
     ("dt_add_delta", lambda: dt.shift_time("ts", F.expr("interval 36 hours")), "ts + INTERVAL 36 HOUR"),
     ("dt_sub_delta", lambda: dt.shift_time("ts", F.expr("interval 5 days"), -1), "ts - INTERVAL 5 DAY"),
-    ("delta_add_delta", lambda: dt.micros((F.col("ts") - BASE) + F.expr("interval 1 days")), "epoch_us(ts) - epoch_us(TIMESTAMP '2020-01-01') + 86400000000"),
+    ("delta_add_delta", lambda: dt.micros((F.col("ts") - BASE()) + F.expr("interval 1 days")), "epoch_us(ts) - epoch_us(TIMESTAMP '2020-01-01') + 86400000000"),
     ("dt_compare", lambda: F.col("ts") > F.lit("2024-03-01").cast("timestamp_ntz"), "ts > TIMESTAMP '2024-03-01'"),
     ("dt_is_month_start", lambda: dt.is_month_start("ts"), "day(ts) = 1"),
     ("dt_is_month_end", lambda: dt.is_month_end("ts"), "ts::DATE = last_day(ts)"),
