@@ -18,6 +18,8 @@ def tables(spark, tmp_path_factory):
     docs = []
     for i in range(60):
         t = "\n".join(prose(rng.randint(9, 40)) for _ in range(rng.randint(1, 4)))
+        if i == 4:
+            t = prose(150)
         if i % 7 == 1:
             t += "\n" + passage
         if i % 11 == 2:
