@@ -167,14 +167,16 @@ class Featurizer:
                 seen[t] = _bucket(t)
         return np.fromiter(map(seen.__getitem__, tokens), np.int64, len(tokens))
 
-    def page(self, blocks: list[Block]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    def page(self, blocks: list[Block], drop: np.random.Generator | None = None) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
         feats, counts = [], np.zeros((len(blocks), COUNTS), np.float32)
         total = sum(len(b.text) for b in blocks) or 1
         for i, b in enumerate(blocks):
             path = [f"<{p}" for p in b.path] + [f"^{p}" for p in b.path[-3:]]
             words = b.text.lower().split()
-            f, w = self._ids(path), self._ids(words)
-            weight = np.concatenate([np.full(len(f), 1 / max(1, len(f))), np.full(len(w), 0.5 / max(1, len(w)))])
+            # in training, every other block hides its words, so that a menu's words alone do not make a menu
+            f, w = self._ids(path), self._ids(words if drop is None or drop.random() < 0.5 else [])
+            # a short text says little by its words
+            weight = np.concatenate([np.full(len(f), 1 / max(1, len(f))), np.full(len(w), 0.5 / (len(w) + 6))])
             feats.append((np.concatenate([f, w]), weight))
             n = len(b.text)
             stops = b.text.count(".") + b.text.count(",") + b.text.count("!") + b.text.count("?")
@@ -396,7 +398,7 @@ def training_set(pages: list[str | None], made_up: int = MADE_UP, seed: int = 11
         blocks = leaf_blocks(page or "")
         y = tagged_labels(blocks)
         if y is not None and len(blocks) <= 400:
-            xs.append(feat.page(blocks))
+            xs.append(feat.page(blocks, rng))
             ys.append(y)
         for b in blocks[:40]:
             words.update(w.strip(".,!?") for w in b.text.lower().split()[:60])
@@ -407,7 +409,7 @@ def training_set(pages: list[str | None], made_up: int = MADE_UP, seed: int = 11
         ys.append(np.array([float(mark in b.text) for b in blocks], np.float32))
         for b in blocks:
             b.text = " ".join(b.text.replace(mark, " ").split())
-        xs.append(feat.page(blocks))
+        xs.append(feat.page(blocks, rng))
     return xs, ys
 
 
