@@ -12,6 +12,7 @@ from .jaccard_join import jaccard_components
 from .line_dedup import dedup_lines
 from .media_gif import text_media
 from .nnpu import score_toxicity
+from .oracles import ORACLES
 from .packing import pack
 from .quotes import link_quotes
 from .subword import score_quality
@@ -21,7 +22,7 @@ from .url_templates import url_filter
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "lines_cut", F.length("text").cast("long").alias("kept_chars"), F.md5(F.encode("text", "UTF-8")).alias("kept_md5"))
+    return out.select("doc_id", F.col("lines_cut").cast("long").alias("lines_cut"), F.length("text").cast("long").alias("kept_chars"), F.md5(F.encode("text", "UTF-8")).alias("kept_md5"))
 
 
 def op2_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +45,7 @@ def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "item_id", "windows", "first_word", "last_word", "exact").distinct()
+    return found.select("doc_id", "item_id", "windows", *[F.col(c).cast("long").alias(c) for c in ("first_word", "last_word")], "exact").distinct()
 
 
 def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +76,4 @@ QUERIES = {
     "op9_nnpu_toxicity": op9_nnpu_toxicity,
     "op10_block_lstm": op10_block_lstm,
 }
-ORACLE_SQL: dict[str, str] = {"op4_url_templates": url_sql()}
+ORACLE_SQL: dict[str, str] = ORACLES | {"op4_url_templates": url_sql()}
