@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import LITERALS, RUN, UNITS, WINDOW
 from .line_dedup import MIN_WORDS
+from .quotes import _INTRO
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -54,4 +55,26 @@ o AS (SELECT * FROM s WHERE len(list_distinct(list_transform(s, lambda x: x[1]))
 SELECT k AS doc_id, item AS item_id, CAST(sum(n) AS BIGINT) AS windows, min(lo + shift) AS first_word, max(hi + shift + {WINDOW - 1}) AS last_word, min(len(list_filter(s, lambda x: x[1] <> x[2])) = 0) AS exact
 FROM o GROUP BY k, item HAVING sum(n) >= max(need)"""
 
-ORACLES = {"op1_line_dedup": LINES, "op2_jaccard_groups": JACCARD, "op6_template_decontamination": LEAKS}
+_NORMAL = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+#: op8: passages and own paragraphs by their normalised text, replies by recursion.
+QUOTES = rf"""WITH RECURSIVE l AS (SELECT conv_id AS c, turn AS t, role, list_transform(string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)), lambda s: {{'level': length(regexp_replace(regexp_extract(s, '^[ \t]*>[> \t]*'), '[^>]', '', 'g')), 'line': regexp_replace(s, '^[ \t]*>[> \t]*', '')}}) AS ls FROM conversations),
+m AS (SELECT c, t, role, CASE WHEN len(list_filter(ls, lambda x: x.level > 0)) = 0 THEN ls ELSE list_filter(ls, lambda x: NOT (x.level = 0 AND regexp_matches(x.line, '{_INTRO}'))) END AS ls FROM l),
+o AS (SELECT c, t, role, ls, trim(regexp_replace(regexp_replace(array_to_string(list_transform(list_filter(ls, lambda x: x.level = 0), lambda x: x.line), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g')) AS own FROM m),
+u AS (SELECT c, t, ls, unnest(range(1, len(ls) + 1)) AS i FROM o), v AS (SELECT c, t, i, ls[i].level AS level, ls[i].line AS line FROM u),
+x AS (SELECT *, i - row_number() OVER (PARTITION BY c, t, level ORDER BY i) AS g FROM v WHERE level > 0),
+p AS (SELECT c, t, level, min(i) AS i, string_agg(line, chr(10) ORDER BY i) AS said FROM x GROUP BY c, t, level, g),
+q AS (SELECT c, t, level, i, {_NORMAL.format("said")} AS n FROM p),
+a AS (SELECT DISTINCT c, t, {_NORMAL.format("y")} AS n FROM (SELECT c, t, unnest(list_concat([own], string_split(own, chr(10)))) AS y FROM o WHERE own <> '')),
+near AS (SELECT n, c, min((c, t)) AS near FROM a WHERE n <> '' GROUP BY n, c), far AS (SELECT n, min(near) AS far FROM near GROUP BY n),
+k AS (SELECT q.c, q.t, level, i, CASE WHEN near < (q.c, q.t) THEN near WHEN far < (q.c, q.t) THEN far END AS "to" FROM q LEFT JOIN near ON q.n = near.n AND q.c = near.c LEFT JOIN far ON q.n = far.n WHERE q.n <> ''),
+f AS (SELECT c, t, min((level, i, "to"))[3] AS "to" FROM k WHERE "to" IS NOT NULL GROUP BY c, t),
+y AS (SELECT o.c, o.t, f."to"[1] AS pc, f."to"[2] AS pt, o.c || '.' || lpad(o.t::VARCHAR, 10, '0') AS spot FROM o LEFT JOIN f ON o.c = f.c AND o.t = f.t),
+d AS (SELECT c, t, 0 AS depth, spot AS path FROM y WHERE pc IS NULL UNION ALL SELECT y.c, y.t, d.depth + 1, d.path || '/' || y.spot FROM y JOIN d ON y.pc = d.c AND y.pt = d.t),
+e AS (SELECT c AS a, pc AS b FROM y WHERE pc <> c UNION SELECT pc, c FROM y WHERE pc <> c),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), h AS (SELECT a, least(a, min(b)) AS thread FROM r GROUP BY a),
+z AS (SELECT c, t, count(*) AS n, max(level) AS hi FROM p GROUP BY c, t)
+SELECT o.c AS conv_id, o.t AS turn, o.role, o.own AS text, coalesce(z.n, 0)::INTEGER AS n_quotes, coalesce(z.hi, 0)::INTEGER AS max_level, y.pc AS parent_conv, y.pt AS parent_turn, coalesce(h.thread, o.c) AS thread, d.depth::INTEGER AS depth, d.path AS sort_path
+FROM o JOIN y ON o.c = y.c AND o.t = y.t JOIN d ON o.c = d.c AND o.t = d.t LEFT JOIN h ON o.c = h.a LEFT JOIN z ON o.c = z.c AND o.t = z.t"""
+
+ORACLES = {"op8_quotation_linking": QUOTES, "op1_line_dedup": LINES, "op2_jaccard_groups": JACCARD, "op6_template_decontamination": LEAKS}

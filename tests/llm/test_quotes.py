@@ -1,3 +1,6 @@
+import random
+
+from ferrowick.llm.oracles import QUOTES
 from ferrowick.llm.quotes import link_quotes
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -38,3 +41,27 @@ def test_ties_repeats_later_originals_and_empty(spark):
 def test_clashing_extra_columns(spark):
     df = spark.createDataFrame([(1, 0, "u", "a", 5, 6)], SCHEMA + ", thread int, id int")
     assert link_quotes(df).columns == ["conv_id", "turn", "role", "text", "n_quotes", "max_level", "parent_conv", "parent_turn", "thread", "depth", "sort_path"]
+
+
+def test_random_threads_match_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    rng, rows, said = random.Random(5), [], []
+    for conv in range(25):
+        for turn in range(rng.randint(1, 5)):
+            lines = []
+            for _ in range(rng.randint(0, 3)):
+                if said and rng.random() < 0.6:
+                    lines += ["On Friday A wrote:"] * rng.randint(0, 1) + [rng.choice([">", "> > ", ">>"]) + x for x in rng.choice(said).split("\n")]
+                lines += [rng.choice(["", "yes", " ".join(rng.choices("abcdefg", k=4))])]
+            text = "\n".join(lines)
+            said.append("\n".join(x for x in lines if not x.startswith(">")).strip() or "nothing")
+            rows.append((conv, turn, rng.choice(["user", "assistant"]), text))
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
+    res = con.execute(QUOTES)
+    names = [d[0] for d in res.description]
+    want = sorted(map(tuple, res.fetchall()), key=str)
+    got = sorted(map(tuple, link_quotes(spark.createDataFrame(rows, SCHEMA)).select(*names).collect()), key=str)
+    assert got == want and max(r[names.index("depth")] for r in want) > 1
