@@ -18,13 +18,23 @@ from ferrowick.llm.packing import pack
 from ferrowick.llm.subword import keep_quality
 
 
+def _begin(docs: DataFrame) -> None:
+    """Removes what earlier stages left in the shared folder: their results have been written by now."""
+    Workspace.clear(_SINCE[0], but=docs)
+
+
+_SINCE = [0]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the subword classifier rejects go."""
+    _SINCE[0] = len(Workspace._all)
     return keep_quality(docs, read(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs go; a document that consists of nothing else goes with them."""
+    _begin(docs)
     out = dedup_lines(docs)
     cut = out.columns[-1]
     out = out.where((F.col(cut) == 0) | (F.col("text") != ""))
@@ -33,16 +43,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: shingles of five words, similarity 0.8 or more."""
+    _begin(docs)
     return keep_one_of_each(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages, re-parameterised ones included, go."""
+    _begin(docs)
     return drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 4096 tokens."""
+    _begin(docs)
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)

@@ -26,12 +26,25 @@ def shared_dir(spark: SparkSession) -> str:
 class Workspace:
     """Intermediate tables, written as Parquet where every executor can read them.
 
-    Writing cuts the lineage: a lost executor costs the tasks of the current step only.
+    Writing cuts the lineage: a lost executor costs the tasks of the current step only. Results are
+    lazy and read these tables, so they stay until ``Workspace.clear`` is told to remove them.
     """
 
+    _all: list[Workspace] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/ferrowick/{name}-{uuid.uuid4().hex[:12]}"
+        self._all.append(self)
+
+    @classmethod
+    def clear(cls, since: int = 0, but: DataFrame | None = None) -> None:
+        """Removes the workspaces made from number ``since`` on, but for those that ``but`` reads."""
+        files = but.inputFiles() if but is not None else []
+        for ws in cls._all[since:]:
+            if not any(f"/{ws.root.rpartition('/')[2]}/" in f for f in files):
+                ws.drop("")
+                cls._all.remove(ws)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

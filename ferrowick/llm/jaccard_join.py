@@ -21,6 +21,7 @@ Links join classes to components.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .caches import worker_cache
 from .common import Workspace, components, free_name
 
 WORDS, PERCENT = 4, 85
@@ -47,35 +49,51 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+class _Hashes(dict):
+    """Words to their hashes, worked out when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
 class Shingler:
     """Texts to sorted distinct 64-bit shingles; word hashes are cached, bounded."""
 
     def __init__(self, words: int = WORDS, most: int = 400_000):
         self.n, self.most = words, most
-        self.seen: dict[bytes, int] = {}
+        self.seen = _Hashes()
 
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.seen) > self.most:
-            self.seen = {}
+            self.seen = _Hashes()
         split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]  # bytes: only A-Z, only ASCII space
-        fresh: set[bytes] = set()
-        for w in split:
-            fresh.update(w)
-        digest = xxhash.xxh64_intdigest
-        self.seen.update((w, digest(w)) for w in fresh if w not in self.seen)
-        get, out = self.seen.__getitem__, []
-        for w in split:
-            h = np.fromiter(map(get, w), np.uint64, len(w))
-            k = min(self.n, len(h))
-            if not k:
-                out.append(h)
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        ends = np.cumsum(sizes)
+        h = np.fromiter(map(self.seen.__getitem__, chain.from_iterable(split)), np.uint64, int(sizes.sum()))
+        over = self._runs(h, self.n)  # of all texts at once; runs that cross from one to the next are not looked at
+        out = []
+        for n, end in zip(sizes.tolist(), ends.tolist(), strict=True):
+            if n < self.n:
+                out.append(self._runs(h[end - n : end], n))
                 continue
-            s = np.full(len(h) - k + 1, k, np.uint64)
-            for i in range(k):
-                s = _mix(s + h[i : i + len(s)])
-            out.append(np.unique(s))
+            s = np.sort(over[end - n : end - self.n + 1])
+            new = np.empty(len(s), bool)
+            new[0] = True
+            np.not_equal(s[1:], s[:-1], out=new[1:])
+            out.append(s[new])
         return out
 
+    @staticmethod
+    def _runs(h: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of all runs of k words, k included."""
+        if not k or len(h) < k:
+            return np.zeros(0, np.uint64)
+        s = np.full(len(h) - k + 1, k, np.uint64)
+        for i in range(k):
+            s = s * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(s)]
+        return _mix(s)
+
 
 def need(n: np.ndarray | int, percent: int = PERCENT):
     """The least overlap of a set of n tokens with a similar one."""
@@ -98,7 +116,7 @@ def set_table(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     top = np.uint64(int(REGION * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(words), set()
+        shingler, seen = worker_cache(f"shingles {words}", lambda: Shingler(words)), set()
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
@@ -143,7 +161,7 @@ def prefix_table(docs: DataFrame, key: str, text: str, words: int, percent: int,
     top = np.uint64(int(REGION * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen, levels = Shingler(words), set(), cast.value
+        shingler, seen, levels = worker_cache(f"shingles {words}", lambda: Shingler(words)), set(), cast.value
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 rows = []
@@ -262,7 +280,7 @@ def group_pair_links(one: tuple, two: tuple, same: bool, percent: int) -> tuple[
 
 def heavy_links(ws: Workspace, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links, up to connection within a pair of groups, of classes that share a frequent prefix token."""
-    h = sets.where(F.size("heavy") > 0).select("f1", "n", "heavy", "toks", F.get("heavy", F.lit(0)).alias("g"), F.floor(F.log("n") / float(np.log(100 / percent))).cast("int").alias("band"))
+    h = sets.where(F.size("heavy") > 0).select("f1", "n", "heavy", "toks", F.get("heavy", F.lit(0)).alias("g"), F.floor(F.log("n") / float(np.log(100 / percent) * (1 + 1e-9))).cast("int").alias("band"))  # sizes of similar sets are at most one band apart, rounding included
     h = ws.save(h, "heavy")
     volume = h.groupBy("g", "band").agg(F.ceil(F.sum("n") / VOLUME).alias("blocks"))
     h = h.join(volume, ["g", "band"]).withColumn("block", F.pmod(F.xxhash64("f1"), F.col("blocks")))
@@ -273,6 +291,7 @@ def heavy_links(ws: Workspace, sets: DataFrame, percent: int) -> DataFrame:
         name = xxhash.xxh64_intdigest(f"{first['g']} {first['band']} {first['block']}") >> 1
         return pd.DataFrame({"id": [name], "band": [first["band"]], "ids": [pdf["f1"].to_numpy(np.int64).tobytes()], "ns": [pdf["n"].to_numpy(np.int64).tobytes()], "toks": [b"".join(pdf["toks"])], "sig": [sig]})
 
+    h = h.repartition("g", "band", "block")  # else the dealing by (g, band) that the join may leave would do, and a hot group be one task
     groups = ws.save(h.groupBy("g", "band", "block").applyInPandas(gather, "id long, band int, ids binary, ns binary, toks binary, sig array<int>"), "groups")
     matrix = groups.select("id", "band", F.explode("sig").alias("t"))
     other = matrix.select(F.col("id").alias("id2"), F.col("band").alias("band2"), "t")
@@ -330,5 +349,6 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     rows = ws.save(docs.withColumn(rid, F.monotonically_increasing_id()), "rows")
     place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(rid).alias("rid"))
     found = jaccard_components(rows.select(place.alias(by), F.col(text).alias("text")), by, "text", words, percent)
-    kept = found.where(F.col(by)["rid"] == F.col("component_id")["rid"])
-    return rows.join(kept.select(F.col(by)["rid"].alias(rid)), rid, "left_semi").select(docs.columns)
+    gone = found.where(F.col(by)["rid"] != F.col("component_id")["rid"]).select(F.col(by)["rid"].alias(rid))
+    # written, so that its size is known and the rows are dealt out only where it is large
+    return rows.join(ws.save(gone, "gone"), rid, "left_anti").select(docs.columns)

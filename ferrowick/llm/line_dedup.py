@@ -54,7 +54,8 @@ def line_table(base: DataFrame, min_words: int) -> DataFrame:
         i.alias("pos"), F.xxhash64(s).alias("h1"), F.xxhash64(F.lit(1), s).alias("h2"), F.get("nws", i).alias("nw"),
         F.when(F.get("nws", i) >= min_words, 1).otherwise(reach("nws", i + 1)).alias("fw"),
         F.when(F.get("nws", i) >= min_words, 1).otherwise(reach("back", n - i)).alias("bw")))
-    return lines.select("rid", "k", F.explode(each).alias("x")).select("rid", "k", "x.*")
+    # outer: else a filter on the array works it out a second time
+    return lines.select("rid", "k", F.explode_outer(each).alias("x")).where("x is not null").select("rid", "k", "x.*")
 
 
 def ranks(ws: Workspace, pairs: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -153,7 +154,8 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_word
     def shorten(texts: pd.Series, places: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else without_lines(t, set(p)) for t, p in zip(texts, places, strict=True)], dtype=object)
 
-    out = rows.join(cuts, F.col(rid) == F.col("_r"), "left")
+    # the cuts grow with the input, so they are dealt out with the rows at every size
+    out = rows.join(cuts.hint("merge"), F.col(rid) == F.col("_r"), "left")
     has = F.col(cut).isNotNull()
     short = shorten(F.when(has, F.col(text).cast("string")), F.coalesce(F.col(cut), F.array().cast("array<int>")))
     out = out.withColumn(text, F.when(has, short).otherwise(F.col(text)))
