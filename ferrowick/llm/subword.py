@@ -9,6 +9,7 @@ are multiplied into the vectors once, so a word costs one cached number.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -18,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .caches import worker_cache
+
 BUCKETS, LOW, HIGH, DIM = 1 << 18, 3, 5, 8
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 2000
 REPEAT = 0  # the bucket of a word that repeats the one before it
 
 
@@ -79,7 +82,7 @@ class WordValues:
 def _vector(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """A document as (buckets, weights): the mean over its units of the mean over a unit's features."""
     if not words:
-        return np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
     names, places, counts = np.unique(np.array(words, object), return_inverse=True, return_counts=True)
     ids, feats = subwords(list(names), buckets)
     per_word = np.bincount(ids, minlength=len(names))
@@ -87,7 +90,7 @@ def _vector(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     feats = np.append(feats, REPEAT)
     weights = np.append((counts / per_word)[ids], repeats) / (len(words) + repeats)
     f, back = np.unique(feats, return_inverse=True)
-    return f, np.bincount(back, weights=weights)
+    return f.astype(np.int32), np.bincount(back, weights=weights).astype(np.float32)
 
 
 class SubwordModel:
@@ -110,7 +113,7 @@ class SubwordModel:
                 step += 1
                 f, w = docs[i]
                 rows = self.embed[f]
-                mean = w.astype(np.float32) @ rows
+                mean = w @ rows
                 z = mean @ self.out + self.bias
                 p = np.exp(z - z.max())
                 p /= p.sum()
@@ -119,7 +122,7 @@ class SubwordModel:
                 self.out -= lr * 0.2 * np.outer(mean, p)
                 self.bias -= lr * 0.2 * p
                 # features of a mean get small shares; scale by their number so that rare ones learn too
-                self.embed[f] = rows - lr * np.sqrt(len(f)) * np.outer(w, back).astype(np.float32)
+                self.embed[f] = rows - lr * np.sqrt(len(f)) * np.outer(w, back)
         return self
 
     def folded(self) -> tuple[np.ndarray, float]:
@@ -156,10 +159,11 @@ def scorer(table: np.ndarray, bias: float) -> Callable[[list[str | None]], list[
 
     def score(texts: list[str | None]) -> list[float]:
         out = []
-        for places in cache.of([(t or "").encode("utf-8", "surrogatepass").split() for t in texts]):
-            repeats = int((places[1:] == places[:-1]).sum())
-            z = bias + ((cache.values[places].sum() + repeats * table[REPEAT]) / (len(places) + repeats) if len(places) else 0.0)
-            out.append(float(1 / (1 + np.exp(-np.clip(z, -60, 60)))))
+        for at in range(0, len(texts), 128):  # so many texts are split into words at a time
+            for places in cache.of([(t or "").encode("utf-8", "surrogatepass").split() for t in texts[at : at + 128]]):
+                repeats = int((places[1:] == places[:-1]).sum())
+                z = bias + ((cache.values[places].sum() + repeats * table[REPEAT]) / (len(places) + repeats) if len(places) else 0.0)
+                out.append(float(1 / (1 + np.exp(-np.clip(z, -60, 60)))))
         return out
 
     return score
@@ -168,9 +172,10 @@ def scorer(table: np.ndarray, bias: float) -> Callable[[list[str | None]], list[
 def score_subwords(df: DataFrame, table: np.ndarray, bias: float, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score): the softmax's share of class 1 for every whole text."""
     cast = df.sparkSession.sparkContext.broadcast((table.astype(np.float32), bias))  # of fixed size: one number a bucket
+    name = f"scorer {uuid.uuid4()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = scorer(*cast.value)
+        score = worker_cache(name, lambda: scorer(*cast.value))
         for b in batches:
             scores = [x for at in range(0, b.num_rows, 256) for x in score(b.column(1).slice(at, 256).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], [key, "score"])
@@ -206,12 +211,12 @@ def keep_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     """
     table, bias = train_quality(docs, labels, key, text, rows=rows)
     cast = docs.sparkSession.sparkContext.broadcast((table.astype(np.float32), bias))
+    name = f"scorer {uuid.uuid4()}"
 
     @F.pandas_udf("boolean")
     def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table, bias = cast.value
-        score = scorer(table, bias)
+        score = worker_cache(name, lambda: scorer(*cast.value))
         for s in batches:
-            yield pd.Series(np.array(score(s.tolist())) >= threshold)
+            yield pd.Series(np.array(score(s.tolist()), float) >= threshold)
 
     return docs.where(good(F.col(text).cast("string")))
