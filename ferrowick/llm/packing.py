@@ -26,9 +26,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .caches import worker_cache
+
 MAX_TOKENS, MAX_SEGMENTS, POOL = 4096, 256, 128
 _ODD = re.compile("[^0-9A-Za-zÀ-ÖØ-öø-ÿ \\n][.,]")  # a stop or comma that may be inside a run of signs
-_TOKENIZERS: dict[str, WordTokenizer] = {}  # of this worker; a cache outlives its task
+
+
+class _Places(dict):
+    """Words to their places in the cache; a new word gets the next place and waits to be encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.waiting: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = at = len(self)
+        self.waiting.append(word)
+        return at
 
 
 class WordTokenizer:
@@ -40,7 +54,7 @@ class WordTokenizer:
     bare model, all else by the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -59,25 +73,20 @@ class WordTokenizer:
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
-        if path not in _TOKENIZERS:
-            _TOKENIZERS[path] = cls(path)
-        return _TOKENIZERS[path]
+        return worker_cache(f"tokenizer {path}", lambda: cls(path))
 
     def _clear(self) -> None:
-        self.words: dict[str, int] = {"": 0}
-        self.flat, self.off, self.len = array("I", [0]), array("q", [0]), array("q", [0])
+        self.words = _Places()
+        self.flat, self.off, self.len = array("I", [0]), array("q"), array("q")
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if w.isalpha() and w.islower() and (w.isascii() or max(w) <= "ÿ")]
-        known = set(plain)
-        rest = [w for w in words if w not in known]
-        for tok, part in ((self.bare, plain), (self.full, rest)):
-            ids = [e.ids for e in tok.encode_batch_fast(part, add_special_tokens=False)]
-            first, sizes = len(self.off), np.fromiter(map(len, ids), np.int64, len(ids))
-            self.off.frombytes((len(self.flat) + np.cumsum(sizes) - sizes).tobytes())
-            self.len.frombytes(sizes.tobytes())
-            self.flat.extend(chain.from_iterable(ids))
-            self.words.update(zip(part, range(first, first + len(part)), strict=True))
+        plain = [w.isalpha() and w.islower() and (w.isascii() or max(w) <= "ÿ") for w in words]
+        bare, full = (iter(tok.encode_batch_fast([w for w, p in zip(words, plain, strict=True) if p == kind], add_special_tokens=False)) for tok, kind in ((self.bare, True), (self.full, False)))
+        ids = [next(bare if p else full).ids for p in plain]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.off.frombytes((len(self.flat) + np.cumsum(sizes) - sizes).tobytes())
+        self.len.frombytes(sizes.tobytes())
+        self.flat.extend(chain.from_iterable(ids))
 
     @staticmethod
     def _pieces(text: str) -> list[str]:
@@ -92,13 +101,11 @@ class WordTokenizer:
         if len(self.words) > self.most:
             self._clear()
         split = [self._pieces(t) for t in texts]
-        seen: set[str] = set()
-        for words in split:
-            seen.update(words)
-        if new := [w for w in seen if w not in self.words]:
-            self._learn(new)
-        flat, off, size = (np.frombuffer(x, d) for x, d in ((self.flat, np.uint32), (self.off, np.int64), (self.len, np.int64)))
         at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        if self.words.waiting:
+            self._learn(self.words.waiting)
+            self.words.waiting = []
+        flat, off, size = (np.frombuffer(x, d) for x, d in ((self.flat, np.uint32), (self.off, np.int64), (self.len, np.int64)))
         n = size[at]
         ends = np.cumsum(n)
         ids = flat[np.repeat(off[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
