@@ -35,44 +35,70 @@ def with_tokens(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn(out, F.array_remove(F.split(text, r"[^\p{L}\p{N}]+"), "")).drop(text)
 
 
-def with_windows(df: DataFrame, words: str, out: str) -> DataFrame:
-    """df with the hashes of all windows of WINDOW words, by the words' types; empty for shorter arrays."""
+def with_windows(df: DataFrame, words: str, out: str, size: int = WINDOW, plain: bool = False) -> DataFrame:
+    """df with the hashes of all windows of ``size`` words; empty for shorter arrays. By the words' types, or
+    plain: by the words themselves, slot values included and whether or not they were taken for slots."""
     h = free_name(df, "_h")
     kind = lambda w: F.when(w.startswith("qq"), F.substring(w, 1, 4)).otherwise(w)
-    df = df.withColumn(h, F.transform(words, lambda w: F.xxhash64(kind(w))))
-    starts = F.slice(h, 1, F.greatest(F.size(h) - (WINDOW - 1), F.lit(0)))
-    return df.withColumn(out, F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, WINDOW)]))).drop(h)
+    bare = lambda w: F.when(w.startswith("qq"), F.regexp_replace(w, "^qq(nu|na|un)", "")).otherwise(w)
+    seed = [F.lit(1)] if plain else []
+    df = df.withColumn(h, F.transform(words, lambda w: F.xxhash64(bare(w) if plain else kind(w))))
+    starts = F.slice(h, 1, F.greatest(F.size(h) - (size - 1), F.lit(0)))
+    return df.withColumn(out, F.transform(starts, lambda x, i: F.xxhash64(*seed, x, *[F.get(h, i + k) for k in range(1, size)]))).drop(h)
 
 
-def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """(h, item, ipos, need): the windows with at least LITERALS literal words; need: windows that make a hit.
+def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", whole: bool = False) -> DataFrame:
+    """(h, item, ipos, need, size, plain): the windows with at least LITERALS literal words; need: windows that make a hit.
 
-    Items shorter than WINDOW words have no window and match nothing. Null texts likewise.
+    Items shorter than WINDOW words have no such window, and others may have fewer than they need.
+    These match nothing, or with ``whole`` word for word: by all their plain windows, of the whole
+    item where it is shorter than WINDOW words. Null texts have no window.
     """
-    w = with_tokens(benchmark.select(F.col(item).alias("item"), F.col(text).cast("string").alias("t")), "t", "w").where(F.size("w") >= WINDOW).distinct()
-    w = with_windows(w, "w", "hs").select("item", "w", F.posexplode_outer("hs").alias("ipos", "h")).where("h is not null")
-    literal = F.size(F.filter(F.slice("w", F.col("ipos") + 1, WINDOW), lambda x: ~x.startswith("qq")))
-    w = w.where(literal >= LITERALS)
+    words = with_tokens(benchmark.select(F.col(item).alias("item"), F.col(text).cast("string").alias("t")), "t", "w").distinct()
     need = F.least(F.size("w") - (WINDOW - 1), F.lit(RUN - WINDOW + 1))
-    return w.select("h", "item", "ipos", need.alias("need")).distinct()
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
+    literals = lambda i: F.size(F.filter(F.slice("w", i + 1, WINDOW), lambda x: ~x.startswith("qq")))
+    w = with_windows(words.where(F.size("w") >= WINDOW), "w", "hs").select("item", "w", F.posexplode_outer("hs").alias("ipos", "h")).where("h is not null")
+    w = w.where(literals(F.col("ipos")) >= LITERALS)
+    out = w.select("h", "item", "ipos", need.alias("need"), F.lit(WINDOW).alias("size"), F.lit(False).alias("plain")).distinct()
+    if not whole:
+        return out
+    good = F.size(F.filter(F.sequence(F.lit(0), F.size("w") - WINDOW), lambda i: literals(i) >= LITERALS))
+    rest = words.where(F.when(F.size("w") < WINDOW, F.size("w") > 0).otherwise(good < need))
+    for size in range(1, WINDOW + 1):
+        x = with_windows(rest.where(F.size("w") >= WINDOW if size == WINDOW else F.size("w") == size), "w", "hs", size, True)
+        x = x.select("item", F.greatest(need, F.lit(1)).alias("need"), F.posexplode("hs").alias("ipos", "h"))
+        out = out.union(x.select("h", "item", "ipos", "need", F.lit(size), F.lit(True)))
+    return out
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", whole: bool = False) -> DataFrame:
     """One row per (document row content, benchmark item) that meet: key, text_hash, item, windows
     (different item windows found again), first_word and last_word (of the document's region),
     exact (all slots have the item's own values).
 
     A pair counts when the consistent regions hold windows of at least RUN words in all, or the
-    whole item where it is shorter. Rows are told apart by key and text, so repeated rows give
+    whole item where it is shorter. Items with too few literal words for that (fewer than WINDOW
+    words, title case, many numbers) are found with ``whole`` only, and word for word; those of fewer
+    than LITERALS words only where they are the whole document. Rows are told apart by key and text, so repeated rows give
     one result and null keys are kept as a key of their own; null and empty texts match nothing;
     empty tables give no rows; other columns are ignored.
     """
     ws = Workspace(docs.sparkSession, "leaks")
-    bench = ws.save(benchmark_windows(benchmark, item), "windows")
+    bench = ws.save(benchmark_windows(benchmark, item, whole=whole), "windows")
+    sizes = [r[0] for r in bench.where("plain").select("size").distinct().collect()] if whole else []
     base = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("t"))
-    hits = with_windows(with_tokens(base, "t", "w"), "w", "hs").select("k", "th", F.posexplode_outer("hs").alias("pos", "h"))  # outer: else a filter on the array works it out a second time
+    hits = with_windows(with_tokens(base, "t", "w"), "w", "hs")
+    for size in sizes:
+        hits = with_windows(hits, "w", f"hs{size}", size, True)
+        if size < LITERALS:
+            hits = hits.withColumn(f"hs{size}", F.when(F.size("w") == size, F.col(f"hs{size}")).otherwise(F.array().cast("array<bigint>")))
+    if sizes:
+        placed = lambda c: F.transform(c, lambda x, i: F.struct(i.alias("pos"), x.alias("h")))
+        hits = hits.select("k", "th", F.explode_outer(F.concat(*[placed(c) for c in ("hs", *[f"hs{size}" for size in sizes])])).alias("x")).select("k", "th", "x.pos", "x.h")
+    else:
+        hits = hits.select("k", "th", F.posexplode_outer("hs").alias("pos", "h"))  # outer: else a filter on the array works it out a second time
     hits = hits.join(bench, "h")  # Spark broadcasts the benchmark's windows only below its own size limit
-    regions = hits.groupBy("k", "th", "item", "need", (F.col("pos") - F.col("ipos")).alias("shift")).agg(
+    regions = hits.groupBy("k", "th", "item", "need", "size", "plain", (F.col("pos") - F.col("ipos")).alias("shift")).agg(
         F.countDistinct("ipos").alias("n"), F.min("ipos").alias("lo"), F.max("ipos").alias("hi"))
     regions = ws.save(regions, "regions")
     pairs = regions.groupBy("k", "th", "item").agg(F.sum("n").alias("all"), F.max("need").alias("need")).where(F.col("all") >= F.col("need"))
@@ -83,23 +109,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     texts = ws.save(with_tokens(texts.withColumnsRenamed({"k": "dk", "th": "dth"}), "t", "dw"), "texts")
     items = with_tokens(benchmark.select(F.col(item).alias("bi"), F.col("text").cast("string").alias("t")), "t", "bw").distinct()
     r = regions.join(texts, F.col("k").eqNullSafe(F.col("dk")) & F.col("th").eqNullSafe(F.col("dth"))).join(items, F.col("item").eqNullSafe(F.col("bi")))
-    n = F.col("hi") - F.col("lo") + WINDOW
+    n = F.col("hi") - F.col("lo") + F.col("size")
     both = F.arrays_zip(F.slice("bw", F.col("lo") + 1, n).alias("b"), F.slice("dw", F.col("lo") + F.col("shift") + 1, n).alias("d"))
     slots = F.array_distinct(F.filter(both, lambda x: F.coalesce(x["b"].startswith("qq") & (F.substring(x["b"], 1, 4) == F.substring(x["d"], 1, 4)), F.lit(False))))
-    r = r.select("k", "th", "item", "need", "n", "lo", "hi", "shift", slots.alias("s"))
+    r = r.select("k", "th", "item", "need", "n", "lo", "hi", "shift", "size", "plain", slots.alias("s"))
     one_way = lambda f: F.size(F.array_distinct(F.transform("s", lambda x: x[f])))
-    r = r.where((one_way("b") == F.size("s")) & (one_way("d") == F.size("s")))
+    r = r.where(F.col("plain") | ((one_way("b") == F.size("s")) & (one_way("d") == F.size("s"))))
     same = F.forall("s", lambda x: x["b"] == x["d"])
     out = r.groupBy("k", "th", "item").agg(
         F.max("need").alias("need"), F.sum("n").alias("windows"), F.min(F.col("lo") + F.col("shift")).alias("first_word"),
-        F.max(F.col("hi") + F.col("shift") + WINDOW - 1).alias("last_word"), F.min(same).alias("exact"))
+        F.max(F.col("hi") + F.col("shift") + F.col("size") - 1).alias("last_word"), F.min(same).alias("exact"))
     return out.where(F.col("windows") >= F.col("need")).select(F.col("k").alias(key), F.col("th").alias("text_hash"), F.col("item").alias(item), "windows", "first_word", "last_word", "exact")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows that meet a benchmark item; all columns and all other rows stay."""
     ws = Workspace(docs.sparkSession, "leaky")
-    found = ws.save(contaminated(docs, benchmark, key, text).select(F.col(key).alias("_fk"), F.col("text_hash").alias("_fh")).distinct(), "found")
+    found = ws.save(contaminated(docs, benchmark, key, text, whole=True).select(F.col(key).alias("_fk"), F.col("text_hash").alias("_fh")).distinct(), "found")
     h = free_name(docs, "_th")
     marked = docs.withColumn(h, F.xxhash64(F.col(text).cast("string")))
     return marked.join(found, marked[key].eqNullSafe(found["_fk"]) & marked[h].eqNullSafe(found["_fh"]), "left_anti").select(docs.columns)

@@ -87,3 +87,16 @@ def test_plan_runs_no_python(spark):
     docs = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
     plan = D.contaminated(docs, docs.selectExpr("doc_id item_id", "text"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_items_with_few_literal_words_are_found_word_for_word(spark):
+    items = [
+        (1, "Which River Flows Through Both The City Of Vienna And The City Of Budapest"), (2, "Anna has 5 kg, Peter 7 kg, Maria 9 kg; who has most of all?"),
+        (3, "In welchem Jahr wurde der Vertrag zwischen Frankreich, Deutschland, Italien und Belgien unterzeichnet"), (4, "Who wrote the Old Testament?"), (5, "Yes"), (6, ITEM), (7, None), (8, "")]
+    docs = [(i, f"Some words before. {t} And 3 words after it") for i, t in items[:6]]
+    docs += [(11, items[0][1].lower()), (12, items[1][1].replace("7", "8")), (13, "who wrote the new testament?"), (14, "yes!"), (15, None), (16, ""), (None, items[3][1])]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    out = {(r.doc_id, r.item_id): r for r in D.contaminated(docs, items, whole=True).collect()}
+    assert set(out) == {(1, 1), (2, 2), (3, 3), (4, 4), (6, 6), (11, 1), (14, 5), (None, 4)}
+    assert (out[4, 4].windows, out[4, 4].first_word, out[4, 4].last_word) == (1, 3, 7)
+    assert {r.doc_id for r in D.drop_contaminated(docs, items).collect()} == {5, 12, 13, 15, 16}
