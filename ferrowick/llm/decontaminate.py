@@ -71,7 +71,18 @@ def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", whole: bool = False) -> DataFrame:
+def slots_of(at: Column, n: Column) -> Column:
+    """The distinct slots of n words from the item's word ``at`` on, (b, d): the item's value and the document's."""
+    both = F.arrays_zip(F.slice("bw", at + 1, n).alias("b"), F.slice("dw", at + F.col("shift") + 1, n).alias("d"))
+    return F.array_distinct(F.filter(both, lambda x: F.coalesce(x["b"].startswith("qq") & (F.substring(x["b"], 1, 4) == F.substring(x["d"], 1, 4)), F.lit(False))))
+
+
+def one_to_one(slots: Column) -> Column:
+    values = lambda f: F.size(F.array_distinct(F.transform(slots, lambda x: x[f])))
+    return (values("b") == F.size(slots)) & (values("d") == F.size(slots))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", whole: bool = False, split: bool = False) -> DataFrame:
     """One row per (document row content, benchmark item) that meet: key, text_hash, item, windows
     (different item windows found again), first_word and last_word (of the document's region),
     exact (all slots have the item's own values).
@@ -79,7 +90,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     A pair counts when the consistent regions hold windows of at least RUN words in all, or the
     whole item where it is shorter. Items with too few literal words for that (fewer than WINDOW
     words, title case, many numbers) are found with ``whole`` only, and word for word; those of fewer
-    than LITERALS words only where they are the whole document. Rows are told apart by key and text, so repeated rows give
+    than LITERALS words only where they are the whole document. A region with inconsistent slots
+    counts for nothing, or with ``split`` is cut where they clash and each consistent part counts:
+    that is every window whose own slots are consistent, copies word for word among them. Rows are told apart by key and text, so repeated rows give
     one result and null keys are kept as a key of their own; null and empty texts match nothing;
     empty tables give no rows; other columns are ignored.
     """
@@ -99,7 +112,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         hits = hits.select("k", "th", F.posexplode_outer("hs").alias("pos", "h"))  # outer: else a filter on the array works it out a second time
     hits = hits.join(bench, "h")  # Spark broadcasts the benchmark's windows only below its own size limit
     regions = hits.groupBy("k", "th", "item", "need", "size", "plain", (F.col("pos") - F.col("ipos")).alias("shift")).agg(
-        F.countDistinct("ipos").alias("n"), F.min("ipos").alias("lo"), F.max("ipos").alias("hi"))
+        F.countDistinct("ipos").alias("n"), F.min("ipos").alias("lo"), F.max("ipos").alias("hi"), *([F.collect_set("ipos").alias("at")] if split else []))
     regions = ws.save(regions, "regions")
     pairs = regions.groupBy("k", "th", "item").agg(F.sum("n").alias("all"), F.max("need").alias("need")).where(F.col("all") >= F.col("need"))
     regions = ws.save(regions.drop("need").join(pairs.withColumnsRenamed({"k": "pk", "th": "pth", "item": "pi"}), (F.col("k").eqNullSafe(F.col("pk"))) & (F.col("th").eqNullSafe(F.col("pth"))) & (F.col("item").eqNullSafe(F.col("pi")))).drop("pk", "pth", "pi", "all"), "likely")
@@ -109,12 +122,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     texts = ws.save(with_tokens(texts.withColumnsRenamed({"k": "dk", "th": "dth"}), "t", "dw"), "texts")
     items = with_tokens(benchmark.select(F.col(item).alias("bi"), F.col("text").cast("string").alias("t")), "t", "bw").distinct()
     r = regions.join(texts, F.col("k").eqNullSafe(F.col("dk")) & F.col("th").eqNullSafe(F.col("dth"))).join(items, F.col("item").eqNullSafe(F.col("bi")))
-    n = F.col("hi") - F.col("lo") + F.col("size")
-    both = F.arrays_zip(F.slice("bw", F.col("lo") + 1, n).alias("b"), F.slice("dw", F.col("lo") + F.col("shift") + 1, n).alias("d"))
-    slots = F.array_distinct(F.filter(both, lambda x: F.coalesce(x["b"].startswith("qq") & (F.substring(x["b"], 1, 4) == F.substring(x["d"], 1, 4)), F.lit(False))))
-    r = r.select("k", "th", "item", "need", "n", "lo", "hi", "shift", "size", "plain", slots.alias("s"))
-    one_way = lambda f: F.size(F.array_distinct(F.transform("s", lambda x: x[f])))
-    r = r.where(F.col("plain") | ((one_way("b") == F.size("s")) & (one_way("d") == F.size("s"))))
+    if split:
+        # a window stays if its own slots are consistent; the region then reaches from the first to the last that stays
+        r = r.withColumn("at", F.when(F.col("plain"), F.col("at")).otherwise(F.filter("at", lambda i: one_to_one(slots_of(i, F.lit(WINDOW)))))).where(F.size("at") > 0)
+        r = r.withColumns({"n": F.size("at").cast("long"), "lo": F.array_min("at"), "hi": F.array_max("at")})
+    r = r.select("k", "th", "item", "need", "n", "lo", "hi", "shift", "size", "plain", slots_of(F.col("lo"), F.col("hi") - F.col("lo") + F.col("size")).alias("s"))
+    if not split:
+        r = r.where(F.col("plain") | one_to_one(F.col("s")))
     same = F.forall("s", lambda x: x["b"] == x["d"])
     out = r.groupBy("k", "th", "item").agg(
         F.max("need").alias("need"), F.sum("n").alias("windows"), F.min(F.col("lo") + F.col("shift")).alias("first_word"),
@@ -125,7 +139,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows that meet a benchmark item; all columns and all other rows stay."""
     ws = Workspace(docs.sparkSession, "leaky")
-    found = ws.save(contaminated(docs, benchmark, key, text, whole=True).select(F.col(key).alias("_fk"), F.col("text_hash").alias("_fh")).distinct(), "found")
+    found = ws.save(contaminated(docs, benchmark, key, text, whole=True, split=True).select(F.col(key).alias("_fk"), F.col("text_hash").alias("_fh")).distinct(), "found")
     h = free_name(docs, "_th")
     marked = docs.withColumn(h, F.xxhash64(F.col(text).cast("string")))
     return marked.join(found, marked[key].eqNullSafe(found["_fk"]) & marked[h].eqNullSafe(found["_fh"]), "left_anti").select(docs.columns)

@@ -44,7 +44,7 @@ def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), whole=True)
+    found = contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), whole=True, split=True)
     return found.select("doc_id", "item_id", "windows", *[F.col(c).cast("long").alias(c) for c in ("first_word", "last_word")], "exact").distinct()
 
 

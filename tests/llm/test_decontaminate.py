@@ -100,3 +100,15 @@ def test_items_with_few_literal_words_are_found_word_for_word(spark):
     assert set(out) == {(1, 1), (2, 2), (3, 3), (4, 4), (6, 6), (11, 1), (14, 5), (None, 4)}
     assert (out[4, 4].windows, out[4, 4].first_word, out[4, 4].last_word) == (1, 3, 7)
     assert {r.doc_id for r in D.drop_contaminated(docs, items).collect()} == {5, 12, 13, 15, 16}
+
+
+def test_clashing_slots_cut_a_region_and_leave_its_consistent_parts(spark):
+    twice = "There are 12 red boxes on the left side of the hall and later another 12 blue boxes on the right side of it"
+    swapped = "we met Anna then Anna met Paul then Paul met Anna here and so on"
+    items = spark.createDataFrame([(9, ITEM), (8, twice), (7, swapped)], "item_id long, text string")
+    docs = [(1, ITEM.replace("12", "40")), (2, twice.replace("12 blue", "13 blue")), (3, ITEM), (4, "we met Tom then Kim met Eva then Leo met Ian here and so on")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in D.contaminated(docs, items).collect()} == {(3, 9)}
+    out = {(r.doc_id, r.item_id): r for r in D.contaminated(docs, items, split=True).collect()}
+    assert set(out) == {(1, 9), (2, 8), (3, 9)} and [out[k].exact for k in sorted(out)] == [False, False, True]
+    assert {r.doc_id for r in D.drop_contaminated(docs, items).collect()} == {4}
