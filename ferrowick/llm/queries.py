@@ -53,7 +53,7 @@ def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_quotes(read(spark, sf_dir, "conversations"))
+    return link_quotes(read(spark, sf_dir, "conversations"), partial=True)
 
 
 def op9_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 A message's lines are cut into its own text and its quoted passages (lines in a row at one quote
 level). Passages and the messages' own texts are normalised and hashed; a passage is joined to the
 earliest message that says it, first in its own conversation, then anywhere. A message replies to
-the original of its outermost linked passage. Conversations that replies connect are one thread;
+the original of its outermost linked passage. With ``partial``, a passage that no message says as
+it stands is linked by its parts: paragraphs, pairs of consecutive lines, lines and sentences.
+Conversations that replies connect are one thread;
 within it a message comes right after what it replies to, and all quotes are gone.
 
 Hash tables of originals are aggregated to one row a hash before they are joined, so a text that
@@ -21,6 +23,9 @@ _PREFIX = r"^[ \t]*>[> \t]*"
 #: The line that mail programs put before a quote.
 _INTRO = r"(?i)^(on|le|am|el)\b.*\b(wrote|écrit|schrieb|escribió)\s*:\s*$"
 
+#: Words of a single part of a passage that link it alone.
+WORDS = 4
+
 
 def parsed_lines(text: Column) -> Column:
     """array<struct<level, line>>: the count of leading ``>`` and the rest of each line, introductions of quotes left out."""
@@ -58,7 +63,52 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
-def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def with_pieces(df: DataFrame, text: str, paragraphs: str, lines: str, pairs: str, sentences: str) -> DataFrame:
+    """df with four arrays of normalised pieces of ``text``; lines are those that say something, pairs two of them in a row."""
+    said = lambda xs: F.filter(F.transform(xs, normalised), lambda x: x != "")
+    cut = F.split(F.col(text), r"\n\s*\n")
+    df = df.withColumns({paragraphs: said(cut), lines: said(F.split(F.col(text), "\n")), sentences: said(F.flatten(F.transform(cut, lambda x: F.split(x, r"(?<=[.!?])\s+"))))})
+    return df.withColumn(pairs, F.transform(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.get(lines, i + 1))))
+
+
+def hashed(df: DataFrame, n: str = "n") -> DataFrame:
+    return df.withColumns({"ph": F.xxhash64(n), "ph2": F.xxhash64(F.lit(1), n)}).drop(n)
+
+
+def originals(ws: Workspace, q: DataFrame, said: DataFrame, name: str) -> DataFrame:
+    """q (id, ph, ph2, ...) with ``to``: the earliest message before id that says it, first in its conversation; else null. said: (id, n)."""
+    said = hashed(said).join(q.select("ph", "ph2").distinct(), ["ph", "ph2"], "left_semi")
+    here = ws.save(said.groupBy("ph", "ph2", F.col("id.c").alias("c")).agg(F.min("id").alias("near")), name)
+    any_ = here.groupBy("ph", "ph2").agg(F.min("near").alias("far"))
+    linked = q.withColumn("c", F.col("id.c")).join(here.withColumnRenamed("c", "hc").withColumnsRenamed({"ph": "a", "ph2": "b"}), (F.col("ph") == F.col("a")) & (F.col("ph2") == F.col("b")) & F.col("c").eqNullSafe(F.col("hc")), "left").drop("a", "b", "hc")
+    to = F.when(F.col("near") < F.col("id"), F.col("near")).when(F.col("far") < F.col("id"), F.col("far"))
+    return linked.join(any_, ["ph", "ph2"], "left").withColumn("to", to)
+
+
+def linked_by_parts(ws: Workspace, m: DataFrame, lost: DataFrame) -> DataFrame:
+    """(id, level, at, to) of those passages of ``lost`` (id, at) that have parts which messages say.
+
+    The whole passage as a paragraph or sentence of a longer message comes first, then its
+    paragraphs, pairs of lines, lines and sentences. Two lines in a row of one original are
+    evidence enough; a single part counts from WORDS words on, or if each line of the passage
+    is said somewhere.
+    """
+    p = m.where(F.size("passages") > 0).select("id", F.posexplode("passages").alias("at", "p")).select(F.col("id").alias("pi"), F.col("at").alias("pa"), "p.level", F.col("p.text").alias("text")).distinct()
+    p = p.join(lost, F.col("pi").eqNullSafe(F.col("id")) & (F.col("pa") == F.col("at")), "left_semi").withColumnsRenamed({"pi": "id", "pa": "at"})
+    p = with_pieces(p, "text", "p2", "p4", "p3", "p5").withColumn("p1", F.array(normalised(F.col("text"))))
+    each = lambda tier: F.transform(f"p{tier}", lambda x, i: F.struct(F.lit(tier).alias("tier"), i.alias("i"), x.alias("n")))
+    q = p.select("id", "level", "at", F.size("p4").alias("lines"), F.explode(F.concat(*map(each, range(1, 6)))).alias("x")).select("id", "level", "at", "lines", "x.tier", "x.i", "x.n", F.size(F.split("x.n", " ")).alias("words"))
+    q = ws.save(hashed(q), "parts")
+    said = with_pieces(m.where("own <> ''").select("id", "own"), "own", "s1", "s2", "s3", "s4")
+    said = said.select("id", F.explode(F.array_distinct(F.concat(F.array(normalised(F.col("own"))), "s1", "s2", "s3", "s4"))).alias("n")).where("n <> ''")
+    found = originals(ws, q, said, "near_parts").where("to is not null")
+    found = found.groupBy("id", "level", "at", "lines").agg(F.collect_set(F.struct("tier", "i", "to", "words")).alias("f"))
+    every = F.size(F.filter("f", lambda x: x["tier"] == 4)) == F.col("lines")
+    best = F.array_min(F.filter("f", lambda x: x["tier"].isin(1, 3) | (x["words"] >= WORDS) | every))
+    return found.select("id", "level", "at", best["to"].alias("to")).where("to is not null")
+
+
+def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", partial: bool = False) -> DataFrame:
     """One row per message: conv, turn, role, text (own, without quotes), n_quotes, max_level,
     parent_conv, parent_turn (null without a linked quote), thread (least conv of those linked),
     depth (links to its first message) and sort_path (orders a thread: each message after the one
@@ -67,7 +117,8 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     A message is told by conv, turn and, among equals, its text; fully repeated rows are each
     returned with the same links. Null convs form a conversation of their own; null turns come
     first; null and empty texts say nothing and quote nothing. A quote of something said later,
-    or nowhere, links to nothing. Other columns are ignored; an empty table gives no rows.
+    or nowhere, links to nothing. A quote of part of a message, or of several messages at once, links
+    with ``partial`` only, unless it is one line. Other columns are ignored; an empty table gives no rows.
     """
     ws = Workspace(messages.sparkSession, "quotes")
     lines = parsed_lines(F.col(text).cast("string"))
@@ -78,16 +129,16 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     m = ws.save(m.withColumn("id", F.struct("c", "t", "h")), "messages")
     # what quotes say: few rows, as most messages quote nothing
     q = m.where(F.size("passages") > 0).select("id", F.posexplode("passages").alias("at", "p")).select("id", "at", "p.level", normalised(F.col("p.text")).alias("n")).where("n <> ''")
-    q = ws.save(q.select("id", "at", "level", F.xxhash64("n").alias("ph"), F.xxhash64(F.lit(1), "n").alias("ph2")).distinct(), "quotes")
-    # what messages say: whole own texts and their paragraphs
+    q = ws.save(hashed(q).select("id", "at", "level", "ph", "ph2").distinct(), "quotes")
+    # what messages say: whole own texts and their lines
     said = m.where("own <> ''").select("id", F.explode(F.array_distinct(F.transform(F.concat(F.array("own"), F.split("own", "\n")), normalised))).alias("n")).where("n <> ''")
-    said = said.select("id", F.xxhash64("n").alias("ph"), F.xxhash64(F.lit(1), "n").alias("ph2")).join(q.select("ph", "ph2").distinct(), ["ph", "ph2"], "left_semi")
-    here = ws.save(said.groupBy("ph", "ph2", F.col("id.c").alias("c")).agg(F.min("id").alias("near")), "near")
-    any_ = here.groupBy("ph", "ph2").agg(F.min("near").alias("far"))
-    linked = q.withColumn("c", F.col("id.c")).join(here.withColumnRenamed("c", "hc").withColumnsRenamed({"ph": "a", "ph2": "b"}), (F.col("ph") == F.col("a")) & (F.col("ph2") == F.col("b")) & F.col("c").eqNullSafe(F.col("hc")), "left").drop("a", "b", "hc")
-    linked = linked.join(any_, ["ph", "ph2"], "left")
-    to = F.when(F.col("near") < F.col("id"), F.col("near")).when(F.col("far") < F.col("id"), F.col("far"))
-    linked = linked.select("id", "level", "at", to.alias("to")).where("to is not null")
+    linked = originals(ws, q, said, "near").select("id", "level", "at", "to")
+    if partial:
+        linked = ws.save(linked, "whole")
+        lost = linked.where("to is null").select("id", "at")
+        if not lost.isEmpty():
+            linked = linked.unionByName(linked_by_parts(ws, m, lost))
+    linked = linked.where("to is not null")
     parent = ws.save(linked.groupBy("id").agg(F.min_by("to", F.struct("level", "at", "to")).alias("parent")), "parents")
     # depth and path by doubling: every round reaches twice as far up
     up = parent.select("id", F.col("parent").alias("top"), F.lit(1).alias("depth"), F.array("parent").alias("path"))

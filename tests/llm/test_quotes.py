@@ -65,3 +65,29 @@ def test_random_threads_match_sql(spark):
     want = sorted(map(tuple, res.fetchall()), key=str)
     got = sorted(map(tuple, link_quotes(spark.createDataFrame(rows, SCHEMA)).select(*names).collect()), key=str)
     assert got == want and max(r[names.index("depth")] for r in want) > 1
+
+
+def test_partial_and_joined_quotes_link(spark):
+    three = "The first line is here.\nA second line follows it.\nThe third line ends it."
+    wrapped = "One paragraph that\nis wrapped by hand.\n\nAnother one that is\nwrapped by hand too.\n\nBye"
+    long = "We start here. The sentence in the middle is quoted. We end there."
+    quote = lambda t: "\n".join("> " + x for x in t.split("\n"))
+    rows = [
+        (1, 0, "u", three), (1, 1, "a", wrapped), (1, 2, "u", long), (1, 3, "a", "Yes"), (1, 4, "u", "No"),
+        (2, 0, "u", quote("The first line is here.\nA second line follows it.") + "\nOk"),
+        (2, 1, "u", quote("Another one that is\nwrapped by hand too.") + "\nOk"),
+        (2, 2, "u", quote("Another one that is wrapped\nby hand too.") + "\nOk"),
+        (2, 3, "u", quote("The sentence in the middle is quoted.") + "\nOk"),
+        (2, 4, "u", quote("Yes\nNo") + "\nOk"),
+        (2, 5, "u", quote("Yes\nnobody ever said this") + "\nOk"),
+        (2, 6, "u", quote("A second line follows it.\nThe third line ends it.") + "\nMine\n" + quote("The sentence in the middle is quoted.")),
+        (2, 7, "u", quote(three) + "\nOk"), (2, 8, "u", None), (None, 1, "u", quote("the first LINE is here\nand an edited one") + "\nOk"),
+        (2, 9, "u", "> Yes\n> No\n> Maybe so, who knows\nOk"), (3, 0, "u", "Maybe so, who knows"), (4, 0, "u", quote("Wrapped by hand too\n\nBye")),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    parents = lambda **kw: {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn) for r in link_quotes(df, **kw).collect()}
+    got = parents(partial=True)
+    assert {k: v for k, v in got.items() if v[0] is not None} == {
+        (2, 0): (1, 0), (2, 1): (1, 1), (2, 2): (1, 1), (2, 3): (1, 2), (2, 4): (1, 3), (2, 6): (1, 0), (2, 7): (1, 0), (4, 0): (1, 1)}
+    assert len(got) == len(rows)
+    assert {k for k, v in parents().items() if v[0] is not None} == {(2, 7)}
