@@ -201,6 +201,23 @@ add("merge_cross", lambda t: rel.merge(t.nation.select("n_name"), t.region.selec
 add("combine_first", lambda t: rel.combine_first(t.events.select("event_id", F.expr(HOLES).alias("value")).where("event_id < 5000"), t.events.select("event_id", (F.col("value") * 2).alias("value")).where("event_id > 2000"), "event_id"),
     f"SELECT coalesce(a.event_id, b.event_id) AS event_id, coalesce(a.value, b.value) AS value FROM (SELECT event_id, {HOLES} AS value FROM events WHERE event_id < 5000) a FULL JOIN (SELECT event_id, value * 2 AS value FROM events WHERE event_id > 2000) b ON a.event_id = b.event_id")
 
+# the same over whole tables: keys are doubled, and made odd for some rows of either side, so that part of them has no match
+
+ODD = "2 * {0} + CASE WHEN {0} % {1} = 0 THEN 1 ELSE 0 END"
+odd = lambda key, n: F.expr(ODD.format(key, n))
+ALL_CUST = lambda t: t.customer.select(odd("c_custkey", 5).alias("k"), "c_name", "c_acctbal")
+ALL_ORD = lambda t: t.orders.select(odd("o_custkey", 7).alias("k"), "o_orderkey", "o_totalprice")
+AC_SQL, AO_SQL = f"(SELECT {ODD.format('c_custkey', 5)} AS k, c_name, c_acctbal FROM customer) c", f"(SELECT {ODD.format('o_custkey', 7)} AS k, o_orderkey, o_totalprice FROM orders) o"
+for how, sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
+    add(f"merge_{how}_whole", lambda t, how=how: rel.merge(ALL_CUST(t), ALL_ORD(t), how, "k"), f"SELECT coalesce(c.k, o.k) AS k, c_name, c_acctbal, o_orderkey, o_totalprice FROM {AC_SQL} {sql} {AO_SQL} ON c.k = o.k")
+add("merge_semi_whole", lambda t: rel.merge(ALL_CUST(t), ALL_ORD(t), "semi", "k"), f"SELECT * FROM {AC_SQL} WHERE EXISTS (SELECT 1 FROM {AO_SQL} WHERE o.k = c.k)")
+add("merge_anti_whole", lambda t: rel.merge(ALL_CUST(t), ALL_ORD(t), "anti", "k"), f"SELECT * FROM {AC_SQL} WHERE NOT EXISTS (SELECT 1 FROM {AO_SQL} WHERE o.k = c.k)")
+add("merge_inferred_columns_whole", lambda t: rel.merge(ALL_CUST(t), ALL_ORD(t)), f"SELECT c.k, c_name, c_acctbal, o_orderkey, o_totalprice FROM {AC_SQL} JOIN {AO_SQL} ON c.k = o.k")
+add("combine_first_whole", lambda t: rel.combine_first(t.events.select(odd("event_id", 5).alias("k"), F.expr(HOLES).alias("value")), t.events.select(odd("event_id", 7).alias("k"), (F.col("value") * 2).alias("value")), "k"),
+    f"SELECT coalesce(a.k, b.k) AS k, coalesce(a.value, b.value) AS value FROM (SELECT {ODD.format('event_id', 5)} AS k, {HOLES} AS value FROM events) a FULL JOIN (SELECT {ODD.format('event_id', 7)} AS k, value * 2 AS value FROM events) b ON a.k = b.k")
+add("elementwise_frame_frame_whole", lambda t: rel.align(t.orders.select(odd("o_orderkey", 5).alias("k"), "o_totalprice"), t.orders.select(odd("o_orderkey", 7).alias("k"), "o_totalprice"), "k", lambda a, b: a + b, ["o_totalprice"]),
+    f"SELECT coalesce(a.k, b.k) AS k, a.o_totalprice + b.o_totalprice AS o_totalprice FROM (SELECT {ODD.format('o_orderkey', 5)} AS k, o_totalprice FROM orders) a FULL JOIN (SELECT {ODD.format('o_orderkey', 7)} AS k, o_totalprice FROM orders) b ON a.k = b.k")
+
 # ---------------------------------------------------------------- ordered operators
 
 ev = lambda t: Ordered(t.events.select("event_id", F.expr(HOLES).alias("h")), "event_id")

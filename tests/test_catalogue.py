@@ -59,3 +59,18 @@ def test_ordered_plans_use_no_single_task_window(spark, name):
     # only the table of ranges may be ordered in one task
     for part in plan.split("Exchange SinglePartition")[1:]:
         assert "Aggregate" in part[:600]
+
+
+def test_whole_joins_keep_every_row_and_leave_some_unmatched(spark):
+    run = lambda name: QUERIES[f"{name}_whole"](spark, SF)
+    n = {t: spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("customer", "orders", "events")}
+    outer = run("merge_outer")
+    assert outer.select("c_name").distinct().where("c_name is not null").count() == run("merge_left").select("c_name").distinct().count() == n["customer"]
+    assert outer.where("o_orderkey is not null").count() == run("merge_right").count() == n["orders"]
+    assert outer.where("c_name is null").count() > 0 and outer.where("o_orderkey is null").count() > 0
+    semi, anti = run("merge_semi").count(), run("merge_anti").count()
+    assert semi + anti == n["customer"] and semi > 0 and anti > 0
+    assert 0 < run("merge_inner").count() == run("merge_inferred_columns").count() < n["orders"]
+    for name, table in (("combine_first", "events"), ("elementwise_frame_frame", "orders")):
+        keys = run(name)
+        assert keys.count() > n[table] == keys.selectExpr("k div 2").distinct().count()
