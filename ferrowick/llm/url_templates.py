@@ -2,7 +2,7 @@
 
 Each host has a tree of path segments. Segments that vary by nature (numbers, hex names, slugs,
 names with digits) become typed wildcards, and so do the literals of a node with more than FANOUT
-different ones. Sibling branches whose labelled share of bad pages does not differ significantly
+different ones (where labels are given, only those without labels). Sibling branches whose labelled share of bad pages does not differ significantly
 from that of all their labelled siblings merge into one, as do those without labels. A template
 is rejected when its labelled purity, smoothed towards its parent's, reaches the threshold.
 
@@ -62,9 +62,10 @@ def typed_segments(path: Column) -> Column:
     return F.when(F.size(segs) > LEVELS, F.concat(head, F.array(F.lit("**")))).otherwise(head)
 
 
-def template_verdicts(ws: Workspace, counts: DataFrame, prior: float) -> DataFrame:
+def template_verdicts(ws: Workspace, counts: DataFrame, prior: float, apart: bool = False) -> DataFrame:
     """counts: (host, segs, n, labelled, bad), one row per host and typed path. Adds template and purity.
 
+    Labelled branches that differ from their siblings share a wildcard beyond FANOUT, or with ``apart`` stay apart.
     A level reads the level above several times, so each is written to the workspace.
     """
     rows = counts.withColumn("template", F.lit("")).withColumn("purity", F.lit(float(prior)))
@@ -80,7 +81,7 @@ def template_verdicts(ws: Workspace, counts: DataFrame, prior: float) -> DataFra
         to = (
             F.when((F.col("l") == 0) & (F.col("pl") > 0), "*")
             .when((F.col("l") > 0) & same & literal & (F.col("literals") > 1), "+")
-            .when(literal & (F.col("literals") > FANOUT), F.when(F.col("l") > 0, "{v}").otherwise("*"))
+            .when(literal & (F.col("literals") > FANOUT) & ((F.col("l") == 0) | F.lit(not apart)), F.when(F.col("l") > 0, "{v}").otherwise("*"))
             .otherwise(F.col("seg"))
         )
         joined = ws.save(n.join(p, ["host", "template"]).select("host", "template", "seg", to.alias("to"), "l", "b"), f"branches{level}")
@@ -117,7 +118,7 @@ def url_filter(pages: DataFrame, key: str = "page_id", url: str = "url", bad: Co
     counts = ws.save(counts, "counts")
     total = counts.agg(F.sum("labelled"), F.sum("bad")).first()
     prior = min((total[1] or 0) / total[0] if total[0] else 0.0, cut / 2)
-    verdicts = template_verdicts(ws, counts, prior).select("host", "segs", "template", "purity")
+    verdicts = template_verdicts(ws, counts, prior, apart=bad is not None).select("host", "segs", "template", "purity")
     out = base.join(verdicts, ["host", "segs"], "left")
     said = F.coalesce(F.col("_said"), F.when(F.col("purity") >= cut, "block").otherwise("allow"))
     return out.select(key, "host", "path", "rule", said.alias("verdict"), "template", F.round("purity", 9).alias("purity"))

@@ -44,6 +44,19 @@ def test_many_literals_become_a_wildcard_and_edges(spark):
     assert U.url_filter(spark.createDataFrame([], "page_id long, url string, host int, n int")).count() == 0
 
 
+@pytest.mark.parametrize("sections", [30, 40])
+def test_a_bad_section_is_rejected_at_every_fan_out(spark, sections):
+    from pyspark.sql import functions as F
+
+    names = [f"s{a}{b}" for a in "bcdfgh" for b in "aeiouy"] + ["ta", "te", "ti"]
+    urls = [f"http://h.org/spam/{i}" for i in range(410)] + [f"http://h.org/{s}/{i}" for s in names[: sections - 1] for i in range(50)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    number = F.regexp_extract("url", "([0-9]+)$", 1).cast("int")
+    bad = F.when(number < F.when(F.col("url").contains("/spam/"), 400).otherwise(40), F.col("url").contains("/spam/"))
+    got = U.url_filter(df, bad=bad, rules=()).collect()
+    assert len(got) == len(urls) and all((r.verdict == "block") == r.path.startswith("/spam/") for r in got)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href=/x>Home</a><li><a href=/y>News</a></ul></nav>
 <div class="ad">Buy things now</div><article><h1>Big &amp; bold</h1><p><b>First   line here.<br>Second&nbsp;line <i>now</i>.<p>Another paragraph &lt;here&gt;, with words. <!-- no --></p></article>
 <section id="comments"><div class="comment"><p>I like this a lot, thank you.</p></div></section><footer>&copy; Us</footer></body></html>"""
