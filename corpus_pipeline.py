@@ -54,11 +54,11 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 4096 tokens."""
+    """Pieces of sequences of at most 4096 tokens, with their token ids: the texts that are left can be read back from them."""
     _begin(docs)
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("leaks", leaks), ("packing", packing)]

@@ -79,3 +79,17 @@ def test_empty_and_clashing_columns(spark, tables):
             out = stage(spark, frame, tables)
             assert out.columns == frame.columns and out.count() <= frame.count()
         assert P.packing(spark, frame, tables).count() >= 0
+
+
+def test_run_gives_the_ids_of_whole_sequences(spark, tables):
+    import zlib
+
+    import numpy as np
+
+    out = P.run(spark, tables).collect()
+    assert out and all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in out)
+    at = {}
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at.get(r.sequence_id, 0)
+        at[r.sequence_id] = r.offset + len(r.ids)
+    assert all(at[r.sequence_id] == r.sequence_tokens for r in out)
