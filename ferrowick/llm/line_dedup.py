@@ -20,7 +20,6 @@ unique side to be matched, so Spark may split the other at will.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,7 +38,7 @@ def line_table(base: DataFrame, min_words: int) -> DataFrame:
     """base: (rid, k, text). One row per non-blank line: rid, k, pos (among non-blank lines), nw,
     h1, h2 (its id), fw and bw: lines of the shortest run from it, and to it, with min_words
     words (null if the document ends before)."""
-    trimmed = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    trimmed = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda s: F.btrim(s, F.lit(SPACE)))
     lines = base.select("rid", "k", F.filter(trimmed, lambda s: s != "").alias("lines"))
     lines = lines.withColumn("nws", F.transform("lines", _words)).withColumn("back", F.reverse("nws"))
 
@@ -120,17 +119,20 @@ def repeated_lines(ws: Workspace, base: DataFrame, min_words: int) -> DataFrame:
     return ws.save(deleted.distinct(), "deleted")
 
 
-def without_lines(text: str, cut: set[int]) -> str:
-    """text without its non-blank lines of the given numbers; empty if none is left."""
-    kept, n, any_left = [], 0, False
-    for line in text.split("\n"):
-        if line.strip(SPACE):
-            n += 1
-            if n - 1 in cut:
-                continue
-            any_left = True
-        kept.append(line)
-    return "\n".join(kept) if any_left else ""
+def without_lines(df: DataFrame, text: str, cut: str, out: str) -> DataFrame:
+    """df with ``out``: ``text`` without its non-blank lines of the numbers in array ``cut``; empty if none is left.
+
+    Each step is a column of its own: an expression that is used twice would be worked out twice.
+    """
+    raw, full = free_name(df, "_raw"), free_name(df, "_full")
+    df = df.withColumn(raw, F.split(text, "\n"))
+    # the places of the non-blank lines among all lines
+    places = F.transform(raw, lambda s, i: F.when(F.btrim(s, F.lit(SPACE)) != "", i))
+    df = df.withColumn(full, F.array_compact(places))
+    gone = F.transform(cut, lambda p: F.get(full, p))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(raw) - 1), gone)
+    short = F.array_join(F.transform(kept, lambda i: F.get(raw, i)), "\n")
+    return df.withColumn(out, F.when(F.size(cut) < F.size(full), short).otherwise("")).drop(raw, full)
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -150,13 +152,11 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_word
     found = repeated_lines(ws, rows.select(F.col(rid).alias("rid"), order.alias("k"), F.col(text).cast("string").alias("text")), min_words)
     cuts = found.groupBy("rid").agg(F.collect_list("pos").alias(cut)).withColumnRenamed("rid", "_r")  # of one document
 
-    @F.pandas_udf("string")
-    def shorten(texts: pd.Series, places: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else without_lines(t, set(p)) for t, p in zip(texts, places, strict=True)], dtype=object)
-
     # the cuts grow with the input, so they are dealt out with the rows at every size
     out = rows.join(cuts.hint("merge"), F.col(rid) == F.col("_r"), "left")
-    has = F.col(cut).isNotNull()
-    short = shorten(F.when(has, F.col(text).cast("string")), F.coalesce(F.col(cut), F.array().cast("array<int>")))
-    out = out.withColumn(text, F.when(has, short).otherwise(F.col(text)))
+    has, short = F.col(cut).isNotNull(), free_name(out, "_short")
+    whole = free_name(out, "_whole")
+    # only texts that lose lines are taken apart
+    out = without_lines(out.withColumn(whole, F.when(has, F.col(text).cast("string"))), whole, cut, short)
+    out = out.withColumn(text, F.when(has, F.col(short)).otherwise(F.col(text)))
     return out.select(*df.columns, F.coalesce(F.size(cut), F.lit(0)).alias(free_name(df, "lines_cut")))

@@ -14,7 +14,6 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -213,10 +212,11 @@ def keep_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     cast = docs.sparkSession.sparkContext.broadcast((table.astype(np.float32), bias))
     name = f"scorer {uuid.uuid4()}"
 
-    @F.pandas_udf("boolean")
-    def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def good(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         score = worker_cache(name, lambda: scorer(*cast.value))
-        for s in batches:
-            yield pd.Series(np.array(score(s.tolist()), float) >= threshold)
+        for b in batches:
+            # so many texts at a time are Python's; the batch itself stays Arrow's
+            yield pa.array([x >= threshold for at in range(0, len(b), 256) for x in score(b.slice(at, 256).to_pylist())], pa.bool_())
 
     return docs.where(good(F.col(text).cast("string")))

@@ -1,6 +1,18 @@
 import random
 
-from ferrowick.llm.line_dedup import SPACE, dedup_lines, without_lines
+from ferrowick.llm.line_dedup import SPACE, dedup_lines
+
+
+def without_lines(text, cut):
+    kept, n, any_left = [], 0, False
+    for line in text.split("\n"):
+        if line.strip(SPACE):
+            n += 1
+            if n - 1 in cut:
+                continue
+            any_left = True
+        kept.append(line)
+    return "\n".join(kept) if any_left else ""
 
 
 def brute(rows, min_words):
