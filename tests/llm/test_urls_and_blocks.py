@@ -37,10 +37,12 @@ def test_bad_branches_are_rejected_and_good_ones_merge(spark):
 
 
 def test_many_literals_become_a_wildcard_and_edges(spark):
-    rows = [(i, f"https://s.org/a{'bcdefghijk'[i % 10]}{'lmnopqrstu'[i // 10]}/x") for i in range(100)] + [(200, "http://s.org/1/2/3/4/5/6"), (None, "http://s.org/q.html"), (201, None), (201, None)]
+    rows = [(i, f"https://s.org/q{'bcdefghijk'[i % 10]}{'lmnopqrstu'[i // 10]}/x") for i in range(100)] + [(200, "http://s.org/1/2/3/4/5/6"), (None, "http://s.org/q.html"), (201, None), (201, None)]
     got = U.url_filter(spark.createDataFrame(rows, "page_id long, url string")).collect()
-    assert len(got) == 104 and {r.template for r in got if r.page_id is not None and r.page_id < 100} == {"/*/x"}
-    assert [r.template for r in got if r.page_id == 200] == ["/{n}/{n}/{n}/{n}/**"]
+    assert len(got) == 104 and {r.template for r in got if r.page_id is not None and r.page_id < 100} == {"/+/x"}
+    assert [r.template for r in got if r.page_id == 200] == ["/{n}/{n}/{n}/{n}/{n}/{n}"]
+    deep = U.url_filter(spark.createDataFrame([(1, "http://s.org/" + "/".join("123456789") + "x" * 50_000)], "page_id long, url string"))
+    assert deep.first().template == "/{n}" * U.LEVELS + "/**"
     assert U.url_filter(spark.createDataFrame([], "page_id long, url string, host int, n int")).count() == 0
 
 
@@ -57,6 +59,44 @@ def test_a_bad_section_is_rejected_at_every_fan_out(spark, sections):
     assert len(got) == len(urls) and all((r.verdict == "block") == r.path.startswith("/spam/") for r in got)
 
 
+def test_planted_hosts_and_templates_are_found(spark):
+    """Pages of bad hosts and of bad sections are blocked, a third of them without a bad word of their own, and few others."""
+    rows, truth = [], {}
+    for h in range(40):
+        host = ("free-bets", "casino-win")[h % 2] + f".s{chr(97 + h % 26)}.example.com" if h < 4 else f"www.{"news" if h < 26 else "mail"}{chr(97 + h % 26)}.example.com"
+        for section in ("world", "sport", "offers"):
+            for k in range(30):
+                bad = h < 4 or (section == "offers" and h % 5 == 0)
+                word = "casino-" if bad and h >= 4 and k % 3 else "poker-" if not bad and k == 7 else ""
+                truth[len(rows)] = bad
+                rows.append((len(rows), f"https://{host}/{section}/{word}{'abcdefgh'[k % 8]}-story-{k}"))
+    got = {r.page_id: r.verdict == "block" for r in U.url_filter(spark.createDataFrame(rows, "page_id long, url string"), rules=()).collect()}
+    hit = sum(got[i] and truth[i] for i in truth)
+    assert hit / sum(truth.values()) >= 0.95 and hit / sum(got.values()) >= 0.95
+
+
+def test_a_host_with_few_labels_borrows_from_its_siblings(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"http://a{i % 7}.farm.biz/x/{i}") for i in range(200)] + [(i, f"http://a{i % 7}.good.biz/x/{i}") for i in range(300, 500)] + [(900, "http://new.farm.biz/y"), (901, "http://new.good.biz/y")]
+    bad = F.when(F.col("page_id") < 900, F.col("url").contains("farm"))
+    got = {r.page_id: r.verdict for r in U.url_filter(spark.createDataFrame(rows, "page_id long, url string"), bad=bad, rules=()).collect()}
+    assert got[900] == "block" and got[901] == "allow"
+
+
+def test_both_verdicts_come_from_the_tree_and_sql_agrees(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    want = con.execute(U.oracle_sql())
+    names = [d[0] for d in want.description]
+    got = U.url_filter(spark.read.parquet(f"{sf}/pages.parquet")).select(*names)
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want.fetchall()))
+    assert {r.verdict for r in got.where("rule is null").select("verdict").distinct().collect()} == {"allow", "block"}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href=/x>Home</a><li><a href=/y>News</a></ul></nav>
 <div class="ad">Buy things now</div><article><h1>Big &amp; bold</h1><p><b>First   line here.<br>Second&nbsp;line <i>now</i>.<p>Another paragraph &lt;here&gt;, with words. <!-- no --></p></article>
 <section id="comments"><div class="comment"><p>I like this a lot, thank you.</p></div></section><footer>&copy; Us</footer></body></html>"""
