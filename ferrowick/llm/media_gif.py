@@ -2,9 +2,11 @@
 
 The decoder reads GIF87a/89a: code streams of variable width, global and local palettes,
 interlacing, graphic controls (delay, disposal 0-3, transparency). The encoder stores 8-bit
-samples. Its streams are legal GIF code streams in which a clear code stands before every 254
-literals, so codes stay nine bits wide and packing is plain array arithmetic; with
-``compress=True`` it builds the string table instead (smaller, and slow in Python).
+samples as palette colours, in code streams with a growing string table, cut into timed frames:
+what a frame shares with the canvas that the frames before left is stored as transparent.
+
+Codes are found and followed one by one; their packing into bits of a growing width, and back, is
+array arithmetic, as a code's width depends on its place since the last clear code only.
 """
 
 from __future__ import annotations
@@ -21,10 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CLEAR, END, RUN = 256, 257, 254
+MOST = 4096  # entries of a string table
 WIDTH = 64
-MAX_ROWS = 16384  # of a frame that the encoder writes
-GREY = bytes(v for i in range(256) for v in (i, i, i))
+MAX_ROWS = 512  # of a frame that the encoder writes
+#: Sample i as a colour: its bits are three of red, three of green and two of blue, spread over 0 to 255.
+PALETTE = np.array([((i >> 5) * 255 // 7, (i >> 2 & 7) * 255 // 7, (i & 3) * 255 // 3) for i in range(256)], np.uint8)
+#: What becomes of the encoder's frames, in turn: they stay, are undone, or are cleared.
+DISPOSALS = (1, 3, 2)
+UNSEEN = 255  # the transparent index; no byte of UTF-8
 
 
 @dataclass
@@ -43,147 +49,126 @@ class Frame:
 # ---------------------------------------------------------------- code streams
 
 
-def _pack9(codes: np.ndarray) -> np.ndarray:
-    """Nine-bit codes, lowest bits first; eight codes fill nine bytes."""
-    n = len(codes)
-    c = np.zeros(-(-n // 8) * 8, np.uint16)
-    c[:n] = codes
-    c = c.reshape(-1, 8)
-    out = np.empty((len(c), 9), np.uint8)
-    out[:, 0] = c[:, 0] & 255
-    for k in range(1, 8):
-        out[:, k] = ((c[:, k - 1] >> (9 - k)) | (c[:, k] << k)) & 255
-    out[:, 8] = c[:, 7] >> 1
-    return out.reshape(-1)[: -(-n * 9 // 8)]
-
-
-def _unpack9(data: np.ndarray) -> np.ndarray:
-    n = len(data) * 8 // 9
-    b = np.zeros((-(-len(data) // 9) + 1) * 9, np.uint16)
-    b[: len(data)] = data
-    b = b.reshape(-1, 9)
-    out = np.empty((len(b), 8), np.uint16)
-    for k in range(8):
-        out[:, k] = ((b[:, k] >> k) | (b[:, k + 1] << (8 - k))) & 511
-    return out.reshape(-1)[:n]
-
-
-def literal_stream(samples: np.ndarray) -> bytes:
-    n = len(samples)
-    runs = -(-n // RUN)
-    codes = np.full((max(runs, 1), RUN + 1), CLEAR, np.uint16)
-    flat = np.zeros(max(runs, 1) * RUN, np.uint16)
-    flat[:n] = samples
-    codes[:, 1:] = flat.reshape(-1, RUN)
-    codes = codes.reshape(-1)[: n + max(runs, 1)]
-    return _pack9(np.append(codes, np.uint16(END))).tobytes()
+def code_widths(min_size: int, n: int) -> np.ndarray:
+    """The widths of the n codes after a clear code: one bit more whenever the table outgrows the codes."""
+    k = np.arange(n)
+    width = np.full(n, min_size + 1)
+    for w in range(min_size + 1, 12):
+        width += k >= (1 << w) - (1 << min_size) - 1
+    return width
+
+
+_WIDTHS = {m: code_widths(m, 2 * MOST) for m in range(2, 9)}
+_ENDS = {m: np.cumsum(w) for m, w in _WIDTHS.items()}  # bits from a clear code to the end of each code after it
+_MASKS = {m: ((1 << w) - 1).astype(np.uint32) for m, w in _WIDTHS.items()}
+_LITERALS = [bytes([i]) for i in range(256)]
+
+
+def pack_codes(codes: np.ndarray, min_size: int) -> bytes:
+    """Codes, the first of them a clear code, as a stream of bits, lowest first."""
+    clears = np.flatnonzero(codes == 1 << min_size)
+    since = np.arange(len(codes)) - np.repeat(clears, np.diff(np.append(clears, len(codes))))  # 0 at a clear code
+    since[clears[1:]] = np.diff(clears)
+    since[0] = 1
+    width = _WIDTHS[min_size][since - 1]
+    ends = np.cumsum(width)
+    at = ends - width
+    value = codes.astype(np.int64) << (at & 7)
+    size = int(ends[-1] + 7) >> 3
+    out = np.zeros(size + 2)
+    for k in range(3):  # a code touches three bytes at most, and no bit twice
+        out += np.bincount((at >> 3) + k, (value >> (8 * k)) & 255, size + 2)
+    return out[:size].astype(np.uint8).tobytes()
 
 
 def lzw_encode(samples: bytes, min_size: int = 8) -> bytes:
-    """The usual variable-width encoder with a growing string table."""
+    """The code stream of samples below 2**min_size, with a string table that grows until it is full and starts anew."""
     clear, end = 1 << min_size, (1 << min_size) + 1
-    out, acc, bits, size = bytearray(), 0, 0, min_size + 1
-    table: dict[tuple[int, int], int] = {}
-    following = end + 1
-
-    def put(code: int) -> None:
-        nonlocal acc, bits
-        acc |= code << bits
-        bits += size
-        while bits >= 8:
-            out.append(acc & 255)
-            acc >>= 8
-            bits -= 8
-
-    put(clear)
-    prefix = -1
-    for s in samples:
-        if prefix < 0:
+    codes, following = [clear], end + 1
+    table: dict[int, int] = {}
+    get, put = table.get, codes.append
+    rest = iter(samples)
+    prefix = next(rest, None)
+    if prefix is not None:
+        for s in rest:
+            key = prefix << 8 | s
+            known = get(key)
+            if known is not None:
+                prefix = known
+                continue
+            put(prefix)
+            if following < MOST:
+                table[key] = following
+                following += 1
+            else:
+                put(clear)
+                table.clear()
+                following = end + 1
             prefix = s
-            continue
-        known = table.get((prefix, s))
-        if known is not None:
-            prefix = known
-            continue
         put(prefix)
-        if following < 4096:
-            table[prefix, s] = following
-            if following == 1 << size and size < 12:
-                size += 1
-            following += 1
-        else:
-            put(clear)
-            table.clear()
-            following, size = end + 1, min_size + 1
-        prefix = s
-    if prefix >= 0:
-        put(prefix)
-        if following == 1 << size and size < 12:
-            size += 1
     put(end)
-    if bits:
-        out.append(acc & 255)
-    return bytes(out)
+    return pack_codes(np.array(codes, np.int32), min_size)
 
 
 def lzw_decode(data: bytes, min_size: int, count: int) -> np.ndarray:
-    """The first ``count`` samples of a code stream.
-
-    Streams whose codes are literals between clear codes are read by array arithmetic; all
-    others by the table. A broken or short stream raises ValueError.
-    """
-    if min_size == 8:
-        codes = _unpack9(np.frombuffer(data, np.uint8))
-        ends = np.flatnonzero(codes == END)
-        if len(ends):
-            codes = codes[: ends[0]]
-            clears = np.flatnonzero(codes == CLEAR)
-            gaps = np.diff(np.append(clears, len(codes)))
-            if len(clears) and clears[0] == 0 and gaps.max() <= RUN + 1 and not (codes > CLEAR).any() and len(codes) - len(clears) >= count:
-                return np.delete(codes, clears).astype(np.uint8)[:count]
-    return _lzw_table_decode(data, min_size, count)
-
-
-def _lzw_table_decode(data: bytes, min_size: int, count: int) -> np.ndarray:
+    """The first ``count`` samples of a code stream. A broken or short stream raises ValueError."""
     if not 2 <= min_size <= 8:
         raise ValueError("code size out of range")
     clear, end = 1 << min_size, (1 << min_size) + 1
-    base = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table, size, prev = list(base), min_size + 1, None
-    out, acc, bits, made = [], 0, 0, 0
-    for byte in data:
-        acc |= byte << bits
-        bits += 8
-        while bits >= size:
-            code = acc & ((1 << size) - 1)
-            acc >>= size
-            bits -= size
-            if code == clear:
-                table, size, prev = list(base), min_size + 1, None
-                continue
-            if code == end or made >= count:
-                bits = -1
-                break
-            if prev is None:
-                if code >= clear:
-                    raise ValueError("first code is no literal")
+    base = [*_LITERALS[:clear], b"", b""]
+    view = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
+    view = view[:-2] | view[1:-1] << 8 | view[2:] << 16  # what a code may touch, from each byte on
+    total, bit, made, out = 8 * len(data), 0, 0, []
+    table, prev = list(base), None  # a stream may do without the first clear code
+    place = 0  # codes since the last clear code
+    while made < count:
+        # read on as if no clear code came, then go back to behind the first that did
+        first = min(place, MOST)
+        last = min(first + count - made + 1, 2 * MOST)
+        ends = bit + _ENDS[min_size][first:last] - (_ENDS[min_size][first - 1] if first else 0)
+        ends = ends[: np.searchsorted(ends, total, "right")]
+        if not len(ends):
+            break
+        last = first + len(ends)
+        at = ends - _WIDTHS[min_size][first:last]
+        codes = (view[at >> 3] >> (at & 7).astype(np.uint32)) & _MASKS[min_size][first:last]
+        stops = np.flatnonzero((codes == clear) | (codes == end))
+        n = int(stops[0]) if len(stops) else len(codes)
+        part = codes[:n].tolist()
+        if part and prev is None:
+            if part[0] > clear:
+                raise ValueError("first code is no literal")
+            prev = base[part[0]]
+            out.append(prev)
+            made += len(prev)
+            new = part[1:]
+        else:
+            new = part
+        known = len(table)
+        grow, have = MOST - known, len(out)
+        learn, put = table.append, out.append
+        for code in new[:grow]:
+            if code < known:
                 word = table[code]
+            elif code == known:
+                word = prev + prev[:1]
             else:
-                if code < len(table):
-                    word = table[code]
-                elif code == len(table):
-                    word = prev + prev[:1]
-                else:
-                    raise ValueError("code beyond the table")
-                if len(table) < 4096:
-                    table.append(prev + word[:1])
-                    if len(table) == 1 << size and size < 12:
-                        size += 1
-            out.append(word)
-            made += len(word)
+                raise ValueError("code beyond the table")
+            learn(prev + word[:1])
+            known += 1
+            put(word)
             prev = word
-        if bits < 0:
-            break
+        if len(new) > grow:
+            out += [table[code] for code in new[grow:]]  # twelve bits reach no further than a full table
+            prev = out[-1]
+        made += sum(map(len, out[have:]))
+        place += n
+        bit = int(ends[n - 1]) if n else bit
+        if len(stops):
+            if codes[n] == end:
+                break
+            bit = int(ends[n])
+            table, prev, place = list(base), None, 0
     flat = b"".join(out)[:count]
     if len(flat) < count:
         raise ValueError("code stream is short")
@@ -221,21 +206,28 @@ def _unblock(data: bytes, at: int) -> tuple[bytes, int]:
 # ---------------------------------------------------------------- files
 
 
-def encode_gif(payload: bytes, width: int = WIDTH, delay_cs: int = 10, compress: bool = False) -> bytes:
-    """8-bit grey samples as a GIF; ``len(payload)`` must be a positive multiple of width.
+def encode_gif(payload: bytes, width: int = WIDTH, delay_cs: int = 10) -> bytes:
+    """8-bit samples as the palette's colours; ``len(payload)`` must be a positive multiple of width.
 
-    Very long payloads take several timed frames of at most MAX_ROWS rows.
+    Long payloads take several timed frames of at most MAX_ROWS rows. From the second on, samples
+    that the canvas shows already are stored as UNSEEN where the frame has no such sample.
     """
     rows, rest = divmod(len(payload), width)
     if rest or not rows:
         raise ValueError("payload is no positive multiple of the width")
-    out = [b"GIF89a", struct.pack("<HHBBB", width, min(rows, MAX_ROWS), 0xF7, 0, 0), GREY]
+    out = [b"GIF89a", struct.pack("<HHBBB", width, min(rows, MAX_ROWS), 0xF7, 0, 0), PALETTE.tobytes()]
     samples = np.frombuffer(payload, np.uint8)
-    for first in range(0, rows, MAX_ROWS):
-        part = samples[first * width : (first + MAX_ROWS) * width]
-        out.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 1 << 2, delay_cs, 0, 0))
+    step = MAX_ROWS * width
+    canvas = np.full(min(len(payload), step), -1, np.int16)  # -1: nothing is shown
+    for k, first in enumerate(range(0, len(samples), step)):
+        part, disposal = samples[first : first + step], DISPOSALS[k % len(DISPOSALS)]
+        clear = k > 0 and not (part == UNSEEN).any()
+        stored = np.where(part == canvas[: len(part)], np.uint8(UNSEEN), part) if clear else part
+        if disposal != 3:
+            canvas[: len(part)] = part if disposal == 1 else -1
+        out.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, disposal << 2 | clear, delay_cs, UNSEEN if clear else 0, 0))
         out.append(struct.pack("<BHHHHBB", 0x2C, 0, 0, width, len(part) // width, 0, 8))
-        out.append(_blocks(lzw_encode(part.tobytes()) if compress else literal_stream(part)))
+        out.append(_blocks(lzw_encode(stored.tobytes())))
     return b"".join(out) + b";"
 
 
@@ -311,10 +303,19 @@ def colour_histogram(rgb: np.ndarray, shown: np.ndarray, bins: int = 4) -> np.nd
     return np.bincount(key[shown], minlength=bins**3)
 
 
-def payload_of(text: str | None, width: int = WIDTH) -> tuple[bytes, int]:
-    """UTF-8 bytes padded by zero bytes to a positive multiple of ``width``, and the unpadded length."""
-    raw = ("" if text is None else text).encode("utf-8", "surrogatepass")
-    return raw + bytes(max(width, -(-len(raw) // width) * width) - len(raw)), len(raw)
+def samples_of(f: Frame) -> bytes:
+    """The samples that encode_gif stored in a frame, from the colours that the canvas shows."""
+    area = (slice(f.top, f.top + f.height), slice(f.left, f.left + f.width))
+    if not f.shown[area].all():
+        raise ValueError("the frame leaves part of its area unseen")
+    c = f.rgb[area]
+    return ((c[..., 0] & 0xE0) | (c[..., 1] & 0xE0) >> 3 | c[..., 2] >> 6).tobytes()
+
+
+def payload_of(text: str | bytes | None, width: int = WIDTH) -> bytes:
+    """UTF-8 bytes padded by zero bytes to a positive multiple of ``width``."""
+    raw = b"" if text is None else text.encode("utf-8", "surrogatepass") if isinstance(text, str) else bytes(text)
+    return raw + bytes(max(width, -(-len(raw) // width) * width) - len(raw))
 
 
 # ---------------------------------------------------------------- operators
@@ -355,46 +356,61 @@ def frames(df: DataFrame, media: str = "media", bins: int = 4, pixels: bool = Tr
     return picked.mapInPandas(run, ", ".join(x for x in (schema, new) if x))
 
 
-def store_texts(df: DataFrame, text: str = "text", media: str = "media", compress: bool = False) -> DataFrame:
+def store_texts(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """df with ``media``: the text's padded UTF-8 payload as a GIF. Null texts count as empty."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda t: encode_gif(payload_of(t)[0], compress=compress))
+    @F.arrow_udf("binary")
+    def store(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield pa.array([encode_gif(payload_of(t)) for at in range(0, len(b), 64) for t in b.slice(at, 64).to_pylist()], pa.binary())
 
-    return df.withColumn(media, F.pandas_udf(run, "binary")(F.col(text).cast("string")))
+    return df.withColumn(media, store(F.col(text).cast("string").cast("binary")))
 
 
-def text_media(df: DataFrame, key: str = "doc_id", text: str = "text", compress: bool = False) -> DataFrame:
-    """Stores every whole text as a GIF, reads the stored bytes back frame by frame and returns
-    key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
-    n_frames and feature (16 sample-intensity counts of the red channel).
+OUT = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames int, feature string"
 
-    Null and empty texts are one block of 64 zero bytes. Rows are independent: nulls and
-    repeats in ``key`` pass through, other columns are ignored, an empty table gives no rows.
-    Memory is bounded by one text.
+
+def media_features(df: DataFrame, media: str = "media", bins: int = 4) -> DataFrame:
+    """df's other columns, then what the GIFs of store_texts in column ``media`` hold, read frame by frame:
+    payload_bytes, payload_sha256, tail_crc32 (of the last 64 bytes), media_bytes, media_sha256,
+    n_frames and feature (the colour histograms of its frames, added up).
+
+    A null file gives nulls; a broken one raises. Columns of df that clash with an added name are replaced by it.
     """
-    schema = f"{key} {dict(df.dtypes)[key]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames int, feature string"
-    names = [c.split()[0] for c in schema.split(", ")]
+    names = [c.split()[0] for c in OUT.split(", ")]
+    keep = [c for c in df.columns if c != media and c.lower() not in names]
+    picked = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{media}`"))
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string()]
 
-    def one(text: str | None) -> tuple:
-        payload, n = payload_of(text)
-        data = encode_gif(payload, compress=compress)
-        parts, count = [], 0
+    def one(data: bytes | None) -> tuple:
+        if data is None:
+            return (None,) * len(types)
+        digest, size, tail, n, hist = hashlib.sha256(), 0, b"", 0, np.zeros(bins**3, np.int64)
         for f in decode_gif(data):
-            parts.append(f.rgb[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes())
-            count += 1
-        back = b"".join(parts)
-        if back != payload:
-            raise AssertionError("media round trip lost samples")
-        hist = np.bincount(np.frombuffer(back, np.uint8) >> 4, minlength=16)
-        return (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(data), hashlib.sha256(data).hexdigest(), count, ",".join(map(str, hist.tolist())))
-
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string()]
+            part = samples_of(f)
+            digest.update(part)
+            size, tail, n, hist = size + len(part), (tail + part)[-64:], n + 1, hist + colour_histogram(f.rgb, f.shown, bins)
+        return size, digest.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), n, ",".join(map(str, hist.tolist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = zip(*map(one, b.column(1).to_pylist())) if b.num_rows else [[]] * 8
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(made, types, strict=True))], names)
+            for at in range(0, max(b.num_rows, 1), 256):
+                part = b.slice(at, 256)
+                made = zip(*map(one, part.column(len(keep)).to_pylist()), strict=True) if part.num_rows else [[]] * len(types)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(c, t) for c, t in zip(made, types, strict=True))], [*keep, *names])
+
+    return picked.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in picked.dtypes[:-1]), OUT]))
 
-    return df.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+
+def text_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Stores every whole text as a GIF (store_texts) and reads the stored bytes back (media_features):
+    key, n_bytes (unpadded), and the columns of media_features.
+
+    Null and empty texts are one row of 64 zero bytes. Rows are independent: nulls and
+    repeats in ``key`` pass through, other columns are ignored, an empty table gives no rows.
+    Memory is bounded by one Arrow batch of texts.
+    """
+    t = F.col(text).cast("string")
+    own = df.select(F.col(key).alias("_key"), F.coalesce(F.octet_length(t), F.lit(0)).cast("long").alias("n_bytes"), t.alias("_text"))
+    out = media_features(store_texts(own, "_text", "_media").drop("_text"), "_media")
+    return out.withColumnRenamed("_key", key)
