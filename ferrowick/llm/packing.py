@@ -1,6 +1,7 @@
 """Vector bin packing of token sequences for instruction data.
 
-Examples meet three limits at once: tokens, segments and loss-bearing tokens of a sequence. A bin
+Examples meet three limits at once: tokens, segments and loss-bearing tokens of a sequence (the ids of
+a prompt, or of a text's first line, bear none). A bin
 is filled by the dot-product rule: of the waiting pieces that fit, take the one whose size
 vector has the largest dot product with the bin's remaining capacity vector (both as shares of
 the limits). When none fits whole, a piece is cut to fill the bin exactly and its rest waits on.
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .caches import worker_cache
 
-MAX_TOKENS, MAX_SEGMENTS, POOL = 4096, 256, 128
+MAX_TOKENS, MAX_SEGMENTS, POOL = 4096, 12, 128
+MAX_LOSS = 3840  # loss-bearing tokens of a sequence in the registered query and the pipeline
 _ODD = re.compile("[^0-9A-Za-zÀ-ÖØ-öø-ÿ \\n][.,]")  # a stop or comma that may be inside a run of signs
 
 
@@ -51,10 +53,11 @@ class WordTokenizer:
     Spaces and line feeds always end a word of this tokenizer, and so does the step from a letter
     or digit to a stop or comma; ids of a text are the ids of its pieces between these, joined.
     Each distinct piece is encoded once while it is cached: plain lower-case Latin words by the
-    bare model, all else by the whole tokenizer.
+    bare model, all else by the whole tokenizer. Names of special tokens in a text are plain text, as
+    the tokenizers' description has it (encode_special_tokens), or with ``special`` these tokens; a text that holds one is then encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 800_000, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -63,7 +66,9 @@ class WordTokenizer:
         with open(path) as f:
             spec = json.load(f)
         self.full = Tokenizer.from_str(json.dumps(spec))
-        self.full.encode_special_tokens = True
+        self.full.encode_special_tokens = not special
+        names = [x["content"] for x in spec.get("added_tokens", ()) if special]
+        self.named = re.compile("|".join(map(re.escape, names)), re.I) if names else None
         spec["normalizer"] = None
         spec["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         self.bare = Tokenizer.from_str(json.dumps(spec))
@@ -72,8 +77,8 @@ class WordTokenizer:
         self._clear()
 
     @classmethod
-    def of(cls, path: str) -> WordTokenizer:
-        return worker_cache(f"tokenizer {path}", lambda: cls(path))
+    def of(cls, path: str, special: bool = False) -> WordTokenizer:
+        return worker_cache(f"tokenizer {path} {special}", lambda: cls(path, special=special))
 
     def _clear(self) -> None:
         self.words = _Places()
@@ -100,7 +105,8 @@ class WordTokenizer:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.words) > self.most:
             self._clear()
-        split = [self._pieces(t) for t in texts]
+        # a word with a special token's name may have spaces on either side of it: the whole text is one piece
+        split = [[t] if self.named and self.named.search(t) else self._pieces(t) for t in texts]
         at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
         if self.words.waiting:
             self._learn(self.words.waiting)
@@ -129,19 +135,11 @@ class Packer:
 
     def put(self, item: int, length: int, loss_from: int = 0) -> Iterator[list[tuple[int, int, int]]]:
         start, most = 0, int(min(self.limit[0], self.limit[2]))
-        while length - start > most:
-            yield from self._cut_full(item, start, most)
+        while start < length:  # a piece fits an empty sequence
+            self.items.append((item, start, min(start + most, length), loss_from))
             start += most
-        if length > start:
-            self.items.append((item, start, length, loss_from))
-        while len(self.items) >= self.pool:
-            yield from self._bin(last=False)
-
-    def _cut_full(self, item: int, start: int, n: int) -> Iterator[list[tuple[int, int, int]]]:
-        while n:
-            step = n if n == self.limit[0] else 1 << (n.bit_length() - 1)
-            yield [(item, start, step)]
-            start, n = start + step, n - step
+            while len(self.items) >= self.pool:
+                yield from self._bin(last=False)
 
     def close(self) -> Iterator[list[tuple[int, int, int]]]:
         while self.items:
@@ -189,16 +187,26 @@ class Packer:
         yield kept
 
 
-OUT = [("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long"), ("segment", "int"), ("loss_tokens", "long"), ("sequence_tokens", "long")]
+OUT = [("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long"), ("segment", "int"), ("loss_tokens", "long"), ("sequence_tokens", "long"), ("sequence_segments", "long"), ("sequence_loss", "long")]
+
 
+def first_line(text: str) -> tuple[str, str]:
+    """A text's first line and the rest; a text of a single line has no first line but only the rest."""
+    head, _, rest = text.partition("\n")
+    return (head, rest) if rest else ("", text)
 
-def pack(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", prompt: str | None = None, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, end_id: int = 2, with_ids: bool = True) -> DataFrame:
+
+def pack(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", prompt: str | None = None, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, end_id: int = 2, with_ids: bool = True, head_is_prompt: bool = False, special: bool = False) -> DataFrame:
     """Packs all rows into sequences: one row per piece with key, start (ids of its row before
     it), length, ids_crc32, doc_tokens, sequence_id, offset in the sequence (gapless from 0),
-    segment (its number there), loss_tokens, sequence_tokens and, if ``with_ids``, ids.
+    segment (its number there), loss_tokens, the sums of its sequence over the three limits
+    (sequence_tokens, sequence_segments, sequence_loss) and, if ``with_ids``, ids.
 
     A row's ids are the ids of ``prompt`` (a column whose ids bear no loss; none if not named),
-    then of ``text``, then ``end_id``. Null texts count as empty, so every row has at least one
+    then of ``text``, then ``end_id``. With ``head_is_prompt`` the ids of the first line of a text of
+    several lines bear no loss either. At most ``max_tokens`` ids, ``max_segments`` pieces and
+    ``max_loss`` loss-bearing ids stand in a sequence. With ``special`` the names
+    of the tokenizer's special tokens in a text are these tokens, else plain text. Null texts count as empty, so every row has at least one
     id. Repeated rows and keys are packed each on their own, null keys pass through, other
     columns are ignored and an empty table gives no rows. Sequence ids are the partition's
     number times 2**32 plus a count, so a repeated task makes the same rows again.
@@ -208,7 +216,7 @@ def pack(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "t
     cols = [F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"), (F.col(prompt).cast("string") if prompt else F.lit(None).cast("string")).alias("_prompt")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, packer = WordTokenizer.of(tokenizer_path), Packer(max_tokens, max_segments, max_loss)
+        tok, packer = WordTokenizer.of(tokenizer_path, special), Packer(max_tokens, max_segments, max_loss)
         base, made, n = TaskContext.get().partitionId() << 32, 0, 0
         docs: dict[int, list] = {}  # item -> [key as a one-row array, ids, loss_from, ids not yet out]
         key_type, rows = None, []
@@ -217,10 +225,11 @@ def pack(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "t
             nonlocal made
             for seq in seqs:
                 at, total = 0, sum(x[2] for x in seq)
+                loss = [max(0, start + length - max(start, docs[item][2])) for item, start, length in seq]
                 for s, (item, start, length) in enumerate(seq):
                     d = docs[item]
                     ids = d[1][start : start + length]
-                    rows.append((d[0], start, length, zlib.crc32(np.ascontiguousarray(ids, "<u4").data), len(d[1]), base + made, at, s, max(0, start + length - max(start, d[2])), total, ids))
+                    rows.append((d[0], start, length, zlib.crc32(np.ascontiguousarray(ids, "<u4").data), len(d[1]), base + made, at, s, loss[s], total, len(seq), sum(loss), ids))
                     at += length
                     d[3] -= length
                     if not d[3]:
@@ -243,12 +252,18 @@ def pack(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "t
                 part = b.slice(at, 256)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 prompts = [t or "" for t in part.column(2).to_pylist()]
-                ids, heads = tok.encode(texts), tok.encode(prompts) if any(prompts) else None
+                heads = tok.encode(prompts) if any(prompts) else None
+                if head_is_prompt:
+                    lines = [first_line(t) for t in texts]
+                    firsts, ids = tok.encode([a for a, _ in lines]), tok.encode([b for _, b in lines])
+                else:
+                    firsts, ids = None, tok.encode(texts)
                 for i, k in enumerate(part.column(0).to_pylist()):
-                    head = heads[i] if heads else ids[i][:0]
-                    whole = np.concatenate([head, ids[i], np.array([end_id], np.uint32)])
-                    docs[n] = [k, whole, len(head), len(whole)]
-                    out(packer.put(n, len(whole), len(head)))
+                    head = [x[i] for x in (heads, firsts) if x]
+                    free = sum(map(len, head))
+                    whole = np.concatenate([*head, ids[i], np.array([end_id], np.uint32)])
+                    docs[n] = [k, whole, free, len(whole)]
+                    out(packer.put(n, len(whole), free))
                     n += 1
                 if len(rows) >= 2000:
                     yield flush()

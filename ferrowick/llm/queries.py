@@ -13,7 +13,7 @@ from .line_dedup import dedup_lines
 from .media_gif import text_media
 from .nnpu import score_toxicity
 from .oracles import ORACLES
-from .packing import pack
+from .packing import MAX_LOSS, pack
 from .quotes import link_quotes
 from .subword import score_quality
 from .url_templates import oracle_sql as url_sql
@@ -40,7 +40,7 @@ def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), max_loss=MAX_LOSS, head_is_prompt=True, with_ids=False)
 
 
 def op6_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,13 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from ferrowick.llm.packing import Packer, WordTokenizer, pack
+from ferrowick.llm.packing import MAX_LOSS, MAX_SEGMENTS, MAX_TOKENS, Packer, WordTokenizer, pack
+from ferrowick.llm.queries import op5_vector_packing
 
+SF = "/root/testdata/sf0.01"
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = ["", " ", "..", "a.b,c", "(.x)", "It's. don't,we'll be", "ΣΑΣ Σ. İstanbul", "x_.y", "á.", "3.14,5 and 1,000.", "ﬀ.", "\x1c a.　b", " .", "é É. ÀÉ", "Ⅷ.x", "ª.º,", "word. " * 900, "Ein Straßenfest, größer.\nNeu!", "😀.a é."]
+TEXTS += ["a <|endoftext|> b", "x<|StartOfText|>y <|startoftext|>"]
 
 
 def test_ids_equal_the_library(spark):
@@ -19,6 +22,35 @@ def test_ids_equal_the_library(spark):
     assert [x.tolist() for x in WordTokenizer(PATH, most=0).encode(TEXTS)] == want
 
 
+def test_special_tokens_are_text_unless_asked_for():
+    t = Tokenizer.from_file(PATH)
+    want = [e.ids for e in t.encode_batch(TEXTS, add_special_tokens=False)]
+    got = [x.tolist() for x in WordTokenizer(PATH, special=True).encode(TEXTS)]
+    assert got == want and 49407 in want[-2] and 49407 not in WordTokenizer(PATH).encode(TEXTS[-2:])[0]
+
+
+def test_every_limit_of_the_query_binds(spark):
+    """At sf0.01 some sequence reaches each of the three limits, none passes one, and nothing is lost."""
+    out = op5_vector_packing(spark, SF).collect()
+    seqs = {}
+    for r in out:
+        s = seqs.setdefault(r.sequence_id, [r.sequence_tokens, r.sequence_segments, r.sequence_loss, 0, 0, 0])
+        s[3:] = [s[3] + r.length, s[4] + 1, s[5] + r.loss_tokens]
+    limits = (MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS)
+    for k in range(3):
+        assert max(s[k] for s in seqs.values()) == limits[k] and all(s[k] == s[k + 3] for s in seqs.values())
+    assert all(s[0] == 4096 or s[0] & (s[0] - 1) == 0 for s in seqs.values())
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for doc, got in {r.doc_id: r.doc_tokens for r in out[:200]}.items():
+        assert got == len(t.encode(texts[doc], add_special_tokens=False).ids) + 1
+    whole = {}
+    for r in out:
+        whole[r.doc_id] = whole.get(r.doc_id, 0) + r.length
+    assert whole == {r.doc_id: r.doc_tokens for r in out} and len(whole) == len(texts)
+
+
 def test_pieces_cover_every_id_once_and_sequences_need_no_padding(spark):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(50, None), (None, "no key"), (7, "again"), (7, "again"), (60, "long " * 20_000)]
     out = pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), PATH).collect()
