@@ -134,12 +134,30 @@ def held_out(key: Column, mod: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % mod == remainder, F.lit(False))
 
 
+def thinned(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About twice ``rows`` of df's rows by a hash of the key, the same at every run, so that no task is sent
+    ``rows`` from every other; all of them where there are no more."""
+    n = df.count()
+    if n <= 2 * rows + 1000:
+        return df
+    share = (2 * rows + 1000) / n
+    return df.where(F.xxhash64(F.lit(5), F.col(key)) < int((2 * share - 1) * 2**63))
+
+
+def text_sample(docs: DataFrame, key: str, text: str, rows: int) -> list[str | None]:
+    """The texts of at most ``rows`` rows with a key, the same at every run; only keys are ordered."""
+    docs = docs.where(F.col(key).isNotNull())
+    few = thinned(docs.select(key), key, rows).orderBy(F.xxhash64(F.lit(5), F.col(key)), F.col(key)).limit(rows).distinct()
+    got = docs.select(F.col(key), F.col(text).cast("string").alias("_text")).join(F.broadcast(few), key)
+    return [r[0] for r in got.orderBy(F.xxhash64(F.lit(5), F.col(key)), F.col(key), F.col("_text")).limit(rows).select("_text").toLocalIterator()]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, take: Column, rows: int) -> list:
     """At most ``rows`` labelled rows (text, label), the same at every run; ``rows`` bounds what reaches the driver.
 
     The sample is drawn from the labels alone, so only its ids meet the texts.
     """
-    ids = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & take).groupBy(key).agg(F.min(label).alias("_label"))
+    ids = thinned(labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & take), key, rows).groupBy(key).agg(F.min(label).alias("_label"))
     ids = ids.orderBy(F.xxhash64(F.lit(5), F.col(key)), F.col(key)).limit(rows)
     picked = docs.select(F.col(key), F.col(text).cast("string").alias("_text")).join(F.broadcast(ids), key)
     got = picked.orderBy(F.xxhash64(F.lit(5), F.col(key)), F.col(key), F.col("_text")).limit(rows)

@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 
@@ -92,6 +93,101 @@ def test_subword_hashes_equal_a_plain_loop():
     assert [sorted(feats[ids == i].tolist()) for i in range(3)] == [slow(w) for w in words]
 
 
+def test_toxicity_scores_equal_a_plain_loop(spark, frames):
+    docs, labels, _ = frames
+    model = nnpu.train_toxicity(docs, labels)
+    weight = dict(zip(model.chosen.tolist(), model.weights.tolist(), strict=True))
+    long = "zztopo " + "abcd efgh, " * 60_000
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(9000, long), (9001, "x" * 200_000), (9002, "(ZZTOPO!) vexum")]
+    df = spark.createDataFrame([(k, t, 1.0, "n") for k, t in rows], "doc_id long, text string, score double, _text string")
+    got = sorted((str(r.doc_id), r.score) for r in nnpu.score_features(df, model).collect())
+
+    def slow(t):
+        seen = set()
+        for w in (t or "").lower().encode().split():
+            h = zlib.crc32(w.strip(nnpu.SIGNS))
+            h ^= h >> 15
+            h = h * 0x2C1B3C6D & 0xFFFFFFFF
+            seen.add((h ^ h >> 12) % nnpu.BUCKETS)
+        return 1 / (1 + np.exp(-(model.bias + sum(weight.get(b, 0) for b in sorted(seen)))))
+
+    for (k, s), (k2, s2) in zip(got, sorted((str(k), slow(t)) for k, t in rows), strict=True):
+        assert k == k2 and abs(s - s2) < 1e-9
+
+
+def test_the_prior_is_estimated_from_two_samples():
+    rng = random.Random(4)
+    clean = lambda: " ".join(rng.choices([f"w{i}" for i in range(80)], k=20))
+    bad = lambda: clean() + " " + " ".join(rng.sample([f"slur{i}" for i in range(12)], 3))
+    m = nnpu.NonNegativePU()
+    p, u = m._present([bad() for _ in range(300)]), m._present([bad() if rng.random() < 0.15 else clean() for _ in range(3000)])
+    dp, du = (np.bincount(np.concatenate(x), minlength=m.buckets) / len(x) for x in (p, u))
+    assert 0.1 < m.estimated_prior(dp, du, 300, 3000) < 0.2
+
+
+def test_negative_labels_are_not_read(spark, frames):
+    docs, labels, _ = frames
+    key = lambda d: sorted((str(r.doc_id), r.score) for r in d.collect())
+    assert key(nnpu.score_toxicity(docs, labels)) == key(nnpu.score_toxicity(docs, labels.where("toxic = 1")))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_held_out_labels_of_the_tables(spark):
+    from ferrowick.llm import queries
+
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    for query, label, least in ((queries.op7_subword_quality, "quality", 0.97), (queries.op9_nnpu_toxicity, "toxic", 0.93)):
+        got = query(spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("held_out").select("predicted", label).collect()
+        assert sum(r[0] == r[1] for r in got) / len(got) >= least, label
+
+
+def test_quality_fit_and_scores_equal_a_plain_loop(spark, frames):
+    """A small model trained and applied feature by feature, without numpy's vectors."""
+    docs, labels, _ = frames
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None][:30]
+    y = [int(k % 2) for k, _ in rows]
+    m = subword.SubwordModel(buckets=512, dim=4)
+    embed, out, bias = m.embed.astype(float).tolist(), m.out.astype(float).tolist(), [0.0, 0.0]
+    m.fit([t for _, t in rows], y, epochs=2)
+
+    def units(t):
+        words, found = (t or "").encode().split(), {}
+        n = len(words) + sum(a == b for a, b in zip(words, words[1:]))
+        for i, w in enumerate(words):
+            ids, feats = subword.subwords([w], 512)
+            for f in feats.tolist():
+                found[f] = found.get(f, 0) + 1 / len(feats) / n
+            if i and words[i - 1] == w:
+                found[subword.REPEAT] = found.get(subword.REPEAT, 0) + 1 / n
+        return found
+
+    steps, step, rng = 2 * len(rows), 0, np.random.default_rng(7)
+    for _ in range(2):
+        for i in rng.permutation(len(rows)):
+            lr = 1.0 * (1 - step / steps)
+            step += 1
+            f = units(rows[i][1])
+            mean = [sum(w * embed[b][d] for b, w in f.items()) for d in range(4)]
+            z = [sum(mean[d] * out[d][c] for d in range(4)) + bias[c] for c in range(2)]
+            p = [float(np.exp(v - max(z))) for v in z]
+            p = [v / sum(p) - (c == y[i]) for c, v in enumerate(p)]
+            back = [sum(out[d][c] * p[c] for c in range(2)) for d in range(4)]
+            for c in range(2):
+                bias[c] -= lr * 0.2 * p[c]
+                for d in range(4):
+                    out[d][c] -= lr * 0.2 * mean[d] * p[c]
+            size = len({*f, subword.REPEAT})
+            for b, w in f.items():
+                for d in range(4):
+                    embed[b][d] -= lr * size**0.5 * w * back[d]
+    table, shift = m.folded()
+    got = subword.scorer(table, shift)([t for _, t in rows])
+    for (_, t), s in zip(rows, got, strict=True):
+        mean = [sum(w * embed[b][d] for b, w in units(t).items()) for d in range(4)]
+        z = sum(mean[d] * (out[d][1] - out[d][0]) for d in range(4)) + bias[1] - bias[0]
+        assert abs(1 / (1 + np.exp(-z)) - s) < 2e-3
+
+
 def test_non_negative_risk_finds_unlabelled_positives():
     rng = random.Random(1)
     clean = lambda: " ".join(rng.choices([f"w{i}" for i in range(60)], k=20))
