@@ -13,6 +13,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +26,18 @@ BUCKETS, EMBED, HIDDEN, COUNTS = 1 << 13, 12, 20, 8
 
 # fixed values: HTML element names
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes template svg math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split()) | frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover semantics annotation svg g text tspan textpath".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = frozenset("ul ol dl table tbody thead tfoot select menu".split())
 
+ARTICLE = frozenset(["article", "main"])
+# fixed values: tag and class words that stand for page furniture
+FURNITURE = frozenset("nav aside footer form .nav .navbar .menu .ad .ads .advert .banner .promo .sponsored .sidebar .comment .comments .cookie .notice .consent .share .social .related .newsletter .subscribe .breadcrumb .breadcrumbs .footer .hidden".split())
+ROLES = ARTICLE | FURNITURE
+WINDOW = 32  # of a block's path: its last so many tags and names; of those before, only what ROLES lists
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME = re.compile(r"[a-z]+")
@@ -55,35 +62,47 @@ def _hints(tag: str, attrs: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def shortened(path: tuple[str, ...]) -> tuple[str, ...]:
+    """A path's last WINDOW entries and, before them, the ROLES among the others, each once: so a page of
+    deeply nested tags takes memory in proportion to its length."""
+    if len(path) <= WINDOW:
+        return path
+    return (*dict.fromkeys(p for p in path[:-WINDOW] if p in ROLES), *path[-WINDOW:])
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order; scripts, styles, comments and titles have none.
 
     White space within a block is one space and character references are decoded. Unclosed and
     crossed tags are closed as their nesting demands; nothing raises.
     """
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...]]] = []  # open tags, each with the path of what it holds
+    opened: Counter[str] = Counter()
     out: list[Block] = []
     parts: list[str] = []
-    link = [0, 0]  # open links, characters within
+    link = 0  # characters within links
 
     def flush() -> None:
+        nonlocal link
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             if text:
-                out.append(Block(tuple(h for _, hints in stack for h in hints), text, link[1]))
+                out.append(Block(stack[-1][1] if stack else (), text, link))
             parts.clear()
-        link[1] = 0
+        link = 0
 
     def close_to(i: int) -> None:
         if any(t not in INLINE for t, _ in stack[i:]):
             flush()
+        for t, _ in stack[i:]:
+            opened[t] -= 1
         del stack[i:]
-        link[0] = sum(t == "a" for t, _ in stack)
 
     def say(text: str) -> None:
+        nonlocal link
         parts.append(text)
-        if link[0]:
-            link[1] += len(text)
+        if opened["a"] > 0:
+            link += len(text)
 
     at, n = 0, len(page)
     while at < n:
@@ -99,13 +118,13 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         tag, closing, attrs = tag.lower(), m[1] or m[4], (m[3] if m[2] else m[6]) or ""
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close_to(i)
-                    break
-            else:
-                if tag not in INLINE:
-                    flush()
+            if opened[tag] > 0:
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                close_to(i)
+            elif tag not in INLINE:
+                flush()
             continue
         if tag == "br":
             say(" ")
@@ -121,14 +140,14 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             flush()
-            if tag in ENDS_P:
+            if tag in ENDS_P and opened["p"] > 0:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == "p":
                         close_to(i)
                         break
                     if stack[i][0] not in INLINE:
                         break
-            elif tag in SAME:
+            elif tag in SAME and any(opened[t] > 0 for t in SAME[tag]):
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in SAME[tag]:
                         close_to(i)
@@ -137,9 +156,9 @@ def leaf_blocks(page: str) -> list[Block]:
                         break
         if attrs.endswith("/") and tag in INLINE:
             continue
-        stack.append((tag, _hints(tag, attrs) if tag not in INLINE else ()))
-        if tag == "a":
-            link[0] += 1
+        path = stack[-1][1] if stack else ()
+        stack.append((tag, path if tag in INLINE else shortened(path + _hints(tag, attrs))))
+        opened[tag] += 1
     flush()
     return out
 
@@ -311,9 +330,6 @@ class BlockLabeller:
 
 # ---------------------------------------------------------------- training pages
 
-ARTICLE = frozenset(["article", "main"])
-# fixed values: tag and class words that stand for page furniture
-FURNITURE = frozenset("nav aside footer form .nav .navbar .menu .ad .ads .advert .banner .promo .sponsored .sidebar .comment .comments .cookie .notice .consent .share .social .related .newsletter .subscribe .breadcrumb .breadcrumbs .footer .hidden".split())
 
 
 def tagged_labels(blocks: list[Block]) -> np.ndarray | None:
@@ -391,18 +407,22 @@ def made_up_page(rng: np.random.Generator, words: list[str]) -> tuple[str, list[
     return page, mark
 
 
-def training_set(pages: list[str | None], made_up: int = MADE_UP, seed: int = 11) -> tuple[list, list[np.ndarray]]:
-    """Featurised pages and block labels: tagged pages as they are, and made-up pages over their words."""
+def training_set(pages: list[str | None], made_up: int = MADE_UP, seed: int = 11, most_blocks: int = 400, head: tuple[int, int] = (40, 60), vocabulary: int = 20_000) -> tuple[list, list[np.ndarray]]:
+    """Featurised pages and block labels: tagged pages as they are, and made-up pages over their words.
+
+    What bounds the training alone: pages of more than ``most_blocks`` blocks are not learned from, and the
+    made-up pages' words are ``vocabulary`` of those in the first ``head`` blocks and words of a block.
+    """
     rng, feat, xs, ys, words = np.random.default_rng(seed), Featurizer(), [], [], set()
     for page in pages:
         blocks = leaf_blocks(page or "")
         y = tagged_labels(blocks)
-        if y is not None and len(blocks) <= 400:
+        if y is not None and len(blocks) <= most_blocks:
             xs.append(feat.page(blocks, rng))
             ys.append(y)
-        for b in blocks[:40]:
-            words.update(w.strip(".,!?") for w in b.text.lower().split()[:60])
-    words = sorted(w for w in words if w.isalpha())[:20_000] or ["lorem", "ipsum", "dolor", "sit", "amet"]
+        for b in blocks[: head[0]]:
+            words.update(w.strip(".,!?") for w in b.text.lower().split()[: head[1]])
+    words = sorted(w for w in words if w.isalpha())[:vocabulary] or ["lorem", "ipsum", "dolor", "sit", "amet"]
     for _ in range(made_up):
         page, mark = made_up_page(rng, words)
         blocks = leaf_blocks(page)

@@ -110,6 +110,68 @@ def test_leaf_blocks():
         B.leaf_blocks(odd)
 
 
+def test_formulas_and_drawings_keep_their_text():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be given.</p><svg><text>A label</text></svg><template><p>More</p></template></article>"
+    assert " ".join(b.text for b in B.leaf_blocks(page)) == "Let x=2 be given. A label More"
+
+
+def test_deep_pages_take_linear_time_and_memory():
+    n = 100_000
+    for page in ("<div>x" * n, "<div>" * n + "</b></i>" * n, "<b>" * n + "<p>x</p>" * n, "<div>" * n + "<li>x</li>" * 2000, "<a>" * n + "y" + "</a>" * n):
+        blocks = B.leaf_blocks(page)
+        assert all(len(b.path) <= B.WINDOW + len(B.ROLES) for b in blocks)
+    deep = B.leaf_blocks('<article><div class="comments">' + "<div>" * 5000 + "text")
+    assert {"article", ".comments"} <= set(deep[0].path) and B.tagged_labels(deep).tolist() == [0.0]
+
+
+def test_forward_pass_equals_a_plain_loop(model):
+    """Features, both directions and the logits, number by number."""
+    import math
+    import zlib
+
+    blocks, p = B.leaf_blocks(PAGE), {k: v.astype(float) for k, v in model.p.items()}
+    sig = lambda z: 1 / (1 + math.exp(-z))
+    total, xs = sum(len(b.text) for b in blocks), []
+    for i, b in enumerate(blocks):
+        path, words = [f"<{t}" for t in b.path] + [f"^{t}" for t in b.path[-3:]], b.text.lower().split()
+        e = [0.0] * B.EMBED
+        for tokens, w in ((path, 1 / max(1, len(path))), (words, 0.5 / (len(words) + 6))):
+            for t in tokens:
+                row = p["E"][zlib.crc32(t.encode()) % B.BUCKETS]
+                e = [a + w * c for a, c in zip(e, row, strict=True)]
+        n, stops = len(b.text), sum(b.text.count(c) for c in ".,!?")
+        xs.append([*e, math.log1p(n) / 5, min(1, b.link / n), min(1, 10 * stops / n), math.log1p(len(words)) / 4, i / len(blocks), n / total, len(b.path) / 8, 1.0])
+
+    def run(way):
+        w, u, bias, h = p["W" + way], p["U" + way], p["b" + way], B.HIDDEN
+        hs, cs, out = [0.0] * h, [0.0] * h, {}
+        for k in range(len(xs)) if way == "f" else reversed(range(len(xs))):
+            z = [bias[j] + sum(x * w[a][j] for a, x in enumerate(xs[k])) + sum(v * u[a][j] for a, v in enumerate(hs)) for j in range(4 * h)]
+            cs = [sig(z[h + j]) * cs[j] + sig(z[j]) * math.tanh(z[3 * h + j]) for j in range(h)]
+            hs = [sig(z[2 * h + j]) * math.tanh(cs[j]) for j in range(h)]
+            out[k] = hs
+        return out
+
+    f, b = run("f"), run("b")
+    want = [sum(v * o for v, o in zip([*f[k], *b[k]], p["o"][:, 0], strict=True)) + p["c"][0] for k in range(len(xs))]
+    got = model.label([B.Featurizer().page(blocks)])[0]
+    assert np.allclose(got, want, atol=1e-3)
+
+
+def test_a_layout_that_training_never_saw(spark):
+    """Pages by a generator of their own: tables, other names, text before the menus."""
+    rng, right, n = np.random.default_rng(5), 0, 0
+    net = B.BlockLabeller().fit(*B.training_set([PAGE] * 5, made_up=500))
+    say = lambda k: " ".join(rng.choice(["stone", "river", "light", "morning", "letter", "under", "walked"], k)) + "."
+    for _ in range(60):
+        parts = [(f"<td class='storytext'><p>{(t := say(30))}</p></td>", t) for _ in range(4)]
+        page = f"<body><table><tr><td><a href=1>{say(2)}</a><a href=2>{say(2)}</a></td>{''.join(x for x, _ in parts)}</tr></table><div id='navigation-bar'><ul><li><a href=3>{say(1)}</a><li><a href=4>{say(2)}</a></ul></div><div class='footer-links'><a href=5>{say(2)}</a></div></body>"
+        blocks, good = B.leaf_blocks(page), {t for _, t in parts}
+        z = net.label([B.Featurizer().page(blocks)])[0]
+        right, n = right + sum((v > 0) == (b.text in good) for b, v in zip(blocks, z, strict=True)), n + len(blocks)
+    assert right / n > 0.8, right / n
+
+
 @pytest.fixture(scope="module")
 def model():
     return B.BlockLabeller().fit(*B.training_set([PAGE] * 5, made_up=500))
