@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _OWN_DIRS: dict[str, str] = {}
+_MARK = "ferrowick.workspaces"  # of a column's metadata
+_MADE: ContextVar[list[Workspace] | None] = ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one of our own only where it is unset."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset, a temporary one of our own, on one machine only."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="ferrowick-")
     return _OWN_DIRS[app]
@@ -27,24 +34,24 @@ class Workspace:
     """Intermediate tables, written as Parquet where every executor can read them.
 
     Writing cuts the lineage: a lost executor costs the tasks of the current step only. Results are
-    lazy and read these tables, so they stay until ``Workspace.clear`` is told to remove them.
+    lazy and read these tables, so they stay until whoever has used the result releases it.
     """
 
-    _all: list[Workspace] = []
-
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/ferrowick/{name}-{uuid.uuid4().hex[:12]}"
-        self._all.append(self)
-
-    @classmethod
-    def clear(cls, since: int = 0, but: DataFrame | None = None) -> None:
-        """Removes the workspaces made from number ``since`` on, but for those that ``but`` reads."""
-        files = but.inputFiles() if but is not None else []
-        for ws in cls._all[since:]:
-            if not any(f"/{ws.root.rpartition('/')[2]}/" in f for f in files):
-                ws.drop("")
-                cls._all.remove(ws)
+        if (made := _MADE.get()) is not None:
+            made.append(self)
+
+    @staticmethod
+    @contextmanager
+    def collecting() -> Iterator[list[Workspace]]:
+        """The workspaces that are made within, by this thread."""
+        token = _MADE.set([])
+        try:
+            yield _MADE.get()
+        finally:
+            _MADE.reset(token)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -54,11 +61,35 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(conf).delete(p, True)
+            _delete(self.spark, self.path(name))
+
+
+def marked(df: DataFrame, made: list[Workspace]) -> DataFrame:
+    """df with the names of the workspaces that it reads in a column's metadata, which Parquet files keep."""
+    first, *rest = df.schema.fields
+    meta = {k: v for k, v in first.metadata.items() if k != _MARK} | ({_MARK: [ws.root for ws in made]} if made else {})
+    return df.select(F.col(f"`{first.name}`").alias(first.name, metadata=meta), *[F.col(f"`{f.name}`") for f in rest])
+
+
+def release(df: DataFrame) -> DataFrame:
+    """Removes the workspaces that df is marked with, unless df itself reads them; gives df without the mark."""
+    found = [(f.name, root) for f in df.schema.fields for root in f.metadata.get(_MARK, ())]
+    if not found:
+        return df
+    files = df.inputFiles()
+    own = shared_dir(df.sparkSession) + "/ferrowick/"
+    for _, root in found:
+        name = root.rpartition("/")[2]
+        # only folders of this library's naming in the session's own shared folder
+        if root == own + name and re.fullmatch(r"\w+-[0-9a-f]{12}", name) and not any(f"/{name}/" in f for f in files):
+            _delete(df.sparkSession, root)
+    return marked(df, [])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -101,7 +132,3 @@ def components(ws: Workspace, edges: DataFrame, a: str = "a", b: str = "b") -> D
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = mark
 
-
-def rows_of(df: DataFrame, fields: str) -> T.StructType:
-    """The schema of df's columns plus a DDL tail."""
-    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(fields).fields])

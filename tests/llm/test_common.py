@@ -1,7 +1,10 @@
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from ferrowick.llm.caches import worker_cache
-from ferrowick.llm.common import Workspace, components, free_name
+from ferrowick.llm.common import Workspace, components, free_name, marked, release, shared_dir
 
 
 def test_components_match_union_find(spark):
@@ -24,19 +27,38 @@ def test_components_match_union_find(spark):
     assert all(find(v) == r for v, r in got.items())
 
 
-def test_workspaces_are_cleared_but_for_those_in_use(spark):
-    since = len(Workspace._all)
-    one, two = Workspace(spark, "one"), Workspace(spark, "two")
-    a, b = one.save(spark.range(3).toDF("x"), "a"), two.save(spark.range(4).toDF("x"), "b")
-    Workspace.clear(since, but=b)
-    assert b.count() == 4 and two in Workspace._all and one not in Workspace._all
+def test_a_result_names_its_workspaces_until_it_is_released(spark, tmp_path):
+    def result(name):
+        with Workspace.collecting() as made:
+            return marked(Workspace(spark, name).save(spark.range(3).toDF("x"), "a"), made), made
+
+    (one, made), (two, _) = result("one"), result("two")
+    assert len(made) == 1 and one.columns == ["x"]
+    assert release(one).count() == 3 == one.count()  # it still reads them
+    one.write.parquet(f"{tmp_path}/one")
+    again = spark.read.parquet(f"{tmp_path}/one")
+    clean = release(again)
+    assert clean.count() == 3 == two.count() and not clean.schema["x"].metadata and again.schema["x"].metadata
     try:
-        left = spark.read.parquet(one.path("a")).count()
+        left = spark.read.parquet(made[0].path("a")).count()
     except Exception:
         left = 0
-    assert left == 0 and a.columns == ["x"]
-    Workspace.clear(since)
-    assert len(Workspace._all) == since
+    assert left == 0
+    assert release(clean).count() == 3
+    odd = spark.range(1).select(F.col("id").alias("id", metadata={"ferrowick.workspaces": [f"file://{tmp_path}", "/"]}))
+    assert release(odd).count() == 1 and (tmp_path / "one").is_dir()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Fake:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            applicationId, master = "a", "spark://host:7077"
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Fake)
 
 
 def test_small_helpers(spark):

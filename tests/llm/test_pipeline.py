@@ -71,6 +71,24 @@ def test_run_packs_what_is_left(spark, tables):
     assert all(sum(v) % k[1] == 0 for k, v in total.items())
 
 
+def test_two_pipelines_and_other_queries_do_not_disturb_each_other(spark, tables, tmp_path):
+    """Stages of two pipelines in turn, results of other queries in between, each used after the other's next stage."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    other = P.dedup_lines(docs)
+    a, b = docs, docs
+    for k, (name, stage) in enumerate(P.STAGES):
+        x, y = stage(spark, a, tables), stage(spark, b, tables)
+        if k + 1 == len(P.STAGES):
+            assert x.count() == y.count() > 0
+            break
+        x.write.parquet(f"{tmp_path}/a{name}")
+        a = spark.read.parquet(f"{tmp_path}/a{name}")
+        y.write.parquet(f"{tmp_path}/b{name}")
+        b = spark.read.parquet(f"{tmp_path}/b{name}")
+        assert a.count() == b.count()
+    assert other.count() == docs.count()
+
+
 def test_empty_and_clashing_columns(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     odd = docs.selectExpr("*", "1 as _rid", "2 as lines_cut", "3 as score", "4 as k", "5 as f1", "6 as n").limit(12)
