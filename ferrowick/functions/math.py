@@ -41,10 +41,8 @@ def fdiv(a: C, b: C) -> Column:
 
 
 def int_div(a: C, b: C) -> Column:
-    """Integer division towards zero; NULL for a zero divisor."""
-    a, b = widen(a), widen(b)
-    q = (F.abs(a) - F.abs(a) % F.nullif(F.abs(b), F.lit(0))) / F.nullif(F.abs(b), F.lit(0))
-    return (q * F.signum(a) * F.signum(b)).cast("bigint")
+    """Integer division towards zero, exact over all of bigint; NULL for a zero divisor."""
+    return F.call_function("div", widen(a), F.nullif(widen(b), F.lit(0)))
 
 
 def mod(a: C, b: C) -> Column:
@@ -52,8 +50,14 @@ def mod(a: C, b: C) -> Column:
     return F.try_mod(col(a), col(b))
 
 
+def _whole(f, x: Column) -> Column:
+    """f (floor or ceil, which give a bigint) as a double; infinities, NaN and doubles too large to have a fraction stay."""
+    return F.when(F.abs(x) < 2.0**53, f(x).cast("double")).otherwise(x)
+
+
 def floordiv(a: C, b: C) -> Column:
-    return F.floor(F.try_divide(col(a).cast("double"), col(b).cast("double"))).cast("double")
+    """The floor of the true division: x/0 is an infinity of x's sign, 0/0 NaN."""
+    return _whole(F.floor, fdiv(a, b))
 
 
 def pmod(a: C, b: C) -> Column:
@@ -85,16 +89,16 @@ def log10(x: C) -> Column:
 
 
 def ceil(x: C) -> Column:
-    return F.ceil(col(x)).cast("double")
+    return _whole(F.ceil, col(x).cast("double"))
 
 
 def floor(x: C) -> Column:
-    return F.floor(col(x)).cast("double")
+    return _whole(F.floor, col(x).cast("double"))
 
 
 def trunc(x: C) -> Column:
-    x = col(x)
-    return F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double")
+    x = col(x).cast("double")
+    return F.when(x < 0, ceil(x)).otherwise(floor(x))
 
 
 def rint(x: C, digits: int = 0) -> Column:

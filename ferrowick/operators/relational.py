@@ -14,7 +14,7 @@ from ferrowick.operators.scan import Ordered
 #: Whole-column reductions by name; NULLs are skipped, an empty or all-NULL column gives NULL.
 REDUCE: dict[str, Callable[[Column], Column]] = {
     "sum": F.sum, "min": F.min, "max": F.max, "mean": F.avg, "count": F.count, "nunique": F.count_distinct, "std": F.stddev_samp, "var": F.var_samp,
-    "median": lambda c: F.percentile(c, F.lit(0.5)), "first": lambda c: F.first(c, True), "last": lambda c: F.last(c, True), "size": lambda c: F.count(F.lit(1)),
+    "median": lambda c: F.percentile(c, F.lit(0.5)), "size": lambda c: F.count(F.lit(1)),
     "prod": F.product, "any": F.bool_or, "all": F.bool_and,
 }
 
@@ -67,34 +67,54 @@ def cov(df: DataFrame, a: str, b: str, name: str = "cov") -> DataFrame:
 
 class Grouped:
     """Groups of equal keys. Rows with a NULL key are left out unless ``dropna`` is off; a group whose
-    values are all NULL stays."""
+    values are all NULL stays. ``order`` is a unique column that first and last go by."""
 
-    def __init__(self, df: DataFrame, keys: str | Sequence[str], sort: bool = False, dropna: bool = True):
+    def __init__(self, df: DataFrame, keys: str | Sequence[str], sort: bool = False, dropna: bool = True, order: str | None = None):
         self.keys = [keys] if isinstance(keys, str) else list(keys)
+        self.whole, self.dropna = df, dropna
         self.df = df.dropna(subset=self.keys) if dropna else df
-        self.sort = sort
-
-    def agg(self, **columns: tuple[str, Column | str]) -> DataFrame:
-        """name=(op, column); partial sums run before the shuffle."""
-        out = self.df.groupBy(*self.keys).agg(*[REDUCE[op](F.col(c) if isinstance(c, str) else c).alias(n) for n, (op, c) in columns.items()])
+        self.sort, self.order = sort, order
+
+    def _value(self, op: str, c: Column | str) -> Column:
+        c = F.col(c) if isinstance(c, str) else c
+        if op in ("first", "last"):
+            if self.order is None:
+                raise ValueError("first and last need an order column")
+            return (F.min_by if op == "first" else F.max_by)(c, F.when(c.isNotNull(), F.col(self.order)))
+        return REDUCE[op](c)
+
+    def agg(self, spec: str | Sequence[str] | Mapping[str, str | Sequence[str]] | None = None, **columns: tuple[str, Column | str]) -> DataFrame:
+        """name=(op, column), or one operator or a list of them over all other columns, or a dict of these by
+        column; several operators of a column are named column_operator. Partial sums run before the shuffle."""
+        if spec is not None:
+            rest = [c for c in self.df.columns if c not in self.keys and c != self.order]
+            by = spec if isinstance(spec, Mapping) else dict.fromkeys(rest, spec)
+            for c, ops in by.items():
+                columns |= {c: (ops, c)} if isinstance(ops, str) else {f"{c}_{op}": (op, c) for op in ops}
+        out = self.df.groupBy(*self.keys).agg(*[self._value(op, c).alias(n) for n, (op, c) in columns.items()])
         return out.orderBy(*self.keys) if self.sort else out
 
     def all(self, op: str) -> DataFrame:
         """The operator over every other column, under its own name."""
-        return self.agg(**{c: (op, c) for c in self.df.columns if c not in self.keys})
+        return self.agg(op)
 
     def transform(self, name: str, op: str, c: str) -> DataFrame:
-        """The group's aggregate beside each row. Aggregated first and joined back, so a huge group is no single task."""
-        agg = self.df.groupBy(*[F.col(k).alias(f"__{k}") for k in self.keys]).agg(REDUCE[op](F.col(c)).alias(name))
-        return self.df.join(agg, [F.col(k) == F.col(f"__{k}") for k in self.keys]).drop(*[f"__{k}" for k in self.keys])
+        """The group's aggregate beside each row; NULL where the key is NULL and ``dropna`` is on.
+
+        Aggregated first and joined back, so a huge group is no single task."""
+        agg = self.df.groupBy(*[F.col(k).alias(f"__{k}") for k in self.keys]).agg(self._value(op, c).alias(name))
+        cond = F.lit(True)
+        for k in self.keys:
+            cond = cond & (F.col(k) == F.col(f"__{k}") if self.dropna else F.col(k).eqNullSafe(F.col(f"__{k}")))
+        return self.whole.join(agg, cond, "left").drop(*[f"__{k}" for k in self.keys])
 
     def apply(self, f: Callable, schema: str) -> DataFrame:
         """A pandas function of each group's rows; a group must fit one task's memory."""
         return self.df.groupBy(*self.keys).applyInPandas(f, schema)
 
 
-def group_by(df: DataFrame, keys: str | Sequence[str], sort: bool = False, dropna: bool = True) -> Grouped:
-    return Grouped(df, keys, sort, dropna)
+def group_by(df: DataFrame, keys: str | Sequence[str], sort: bool = False, dropna: bool = True, order: str | None = None) -> Grouped:
+    return Grouped(df, keys, sort, dropna, order)
 
 
 # ---------------------------------------------------------------- joins
@@ -155,6 +175,13 @@ def align(left: DataFrame, right: DataFrame, key: str, op: Callable[[Column, Col
     return j.select(key, *[op(F.col(f"{c}_x"), F.col(f"{c}_y")).alias(c) for c in columns])
 
 
+def join_positions(left: DataFrame, right: DataFrame, on: str, left_key: str, right_key: str, how: str = "inner") -> DataFrame:
+    """(left, right): the places, in the order of each side's key, of the rows that an equi-join pairs."""
+    l = Ordered(left.select(left_key, on), left_key).positions("left").select("left", F.col(on).alias("__a"))  # noqa: E741
+    r = Ordered(right.select(right_key, on), right_key).positions("right").select("right", F.col(on).alias("__b"))
+    return l.join(r, F.col("__a").eqNullSafe(F.col("__b")), how).select("left", "right")
+
+
 # ---------------------------------------------------------------- order and position
 
 
@@ -186,8 +213,8 @@ def slice_rows(df: DataFrame, key: str, start: int, stop: int) -> DataFrame:
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows, the same at every run: the least seeded hashes of the key."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    """n rows, the same at every run and in every engine: the least MD5 sums of seed and key."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
 # ---------------------------------------------------------------- reshaping
@@ -204,7 +231,16 @@ def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str], variable: str
     return df.unpivot(list(ids), list(values), variable, value)
 
 
-def pivot(df: DataFrame, index: str, columns: str, values: str, names: Sequence, op: str = "first") -> DataFrame:
+def stack(df: DataFrame, key: str, variable: str = "variable", value: str = "value") -> DataFrame:
+    """(key, variable, value): every value that is not NULL of the other columns, as text where their types differ."""
+    rest = [c for c in df.columns if c != key]
+    kinds = {t for c, t in df.dtypes if c != key}
+    if len(kinds) > 1:
+        df = df.select(key, *[F.col(c).cast("string").alias(c) for c in rest])
+    return melt(df, [key], rest, variable, value).where(F.col(value).isNotNull())
+
+
+def pivot(df: DataFrame, index: str, columns: str, values: str, names: Sequence, op: str = "min") -> DataFrame:
     return df.groupBy(index).pivot(columns, list(names)).agg(REDUCE[op](F.col(values)))
 
 
@@ -236,6 +272,45 @@ def cat_codes(df: DataFrame, c: str, name: str = "code") -> DataFrame:
     return df.join(codes, F.col(c) == F.col("__v"), "left").drop("__v").withColumn(name, F.coalesce(name, F.lit(-1)).cast("bigint"))
 
 
+def categories(df: DataFrame, c: str) -> DataFrame:
+    """(code, category): the sorted distinct values and their codes from 0."""
+    return Ordered(df.where(F.col(c).isNotNull()).select(F.col(c).alias("category")).distinct(), "category").positions("code").select("code", "category")
+
+
+def rename_categories(df: DataFrame, c: str, names: Mapping) -> DataFrame:
+    """Other values for some of a column's; two of them may not become one."""
+    if len(set(names.values())) < len(names):
+        raise ValueError("categories must stay different")
+    return replace_values(df, c, names)
+
+
+def fillna(df: DataFrame, value) -> DataFrame:
+    """A value, or a dict of values by column, for NULL; a value that a column's type cannot hold leaves it as it is."""
+    return df.fillna(value)
+
+
+def round_columns(df: DataFrame, digits: int | Mapping[str, int]) -> DataFrame:
+    """Float and double columns rounded half to even, to as many digits each."""
+    by = digits if isinstance(digits, Mapping) else {c: digits for c, t in df.dtypes if t in ("float", "double")}
+    return df.select(*[F.bround(F.col(f"`{c}`"), by[c]).alias(c) if c in by else F.col(f"`{c}`") for c in df.columns])
+
+
+def drop_rows(df: DataFrame, key: str, values: Sequence) -> DataFrame:
+    """All rows but those of the given keys; a NULL key stays."""
+    return df.where(~F.coalesce(F.col(key).isin(list(values)), F.lit(False)))
+
+
+def shape(df: DataFrame) -> DataFrame:
+    """One row: rows, columns, size and whether the frame is empty."""
+    n = len(df.columns)
+    return df.agg(F.count("*").alias("rows")).select("rows", F.lit(n).alias("columns"), (F.col("rows") * n).alias("size"), (F.col("rows") == 0).alias("empty"))
+
+
+def dtypes(df: DataFrame) -> DataFrame:
+    """(column, type) of each column."""
+    return df.sparkSession.createDataFrame(df.dtypes, "column string, type string")
+
+
 def replace_values(df: DataFrame, c: str, to: Mapping) -> DataFrame:
     v = F.col(c)
     out = v

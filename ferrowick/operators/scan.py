@@ -11,7 +11,7 @@ cut them into blocks and copy each block's edge to its neighbour.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-QUANTILES = 64
+#: Cuts of a key's distribution: as many as there are ranges, between these two.
+QUANTILES, MOST_QUANTILES = 64, 1024
 
 
 def _as_number(key: Column, kind: T.DataType) -> Column | None:
@@ -38,6 +39,9 @@ def _tree(value: Column, cuts: Sequence, lo: int, hi: int) -> Column:
     return F.when(value < F.lit(cuts[mid]), _tree(value, cuts, lo, mid)).otherwise(_tree(value, cuts, mid + 1, hi))
 
 
+ROLLING = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "count": F.count, "std": F.stddev_samp, "var": F.var_samp, "median": lambda c: F.percentile(c, F.lit(0.5))}
+
+
 class Ordered:
     """A frame with a declared total order: a unique, non-null ``key`` column."""
 
@@ -53,13 +57,14 @@ class Ordered:
     def _range(self) -> Column:
         key, kind = F.col(self.key), self.df.schema[self.key].dataType
         x = _as_number(key, kind)
-        shares = [i / QUANTILES for i in range(QUANTILES + 1)]
+        cuts_of = min(MOST_QUANTILES, max(QUANTILES, self.ranges))
+        shares = [i / cuts_of for i in range(cuts_of + 1)]
         if x is None:
-            few = self.df.select(key.alias("k")).orderBy(F.xxhash64("k")).limit(40 * QUANTILES)  # an even sample, for the cuts only
+            few = self.df.select(key.alias("k")).orderBy(F.xxhash64("k")).limit(40 * cuts_of)  # an even sample, for the cuts only
             keys = sorted(r[0] for r in few.toLocalIterator())
-            cuts = sorted({keys[i * len(keys) // QUANTILES] for i in range(1, QUANTILES)}) if keys else []
+            cuts = sorted({keys[i * len(keys) // cuts_of] for i in range(1, cuts_of)}) if keys else []
             return _tree(key, cuts, 0, len(cuts))
-        q = self.df.agg(F.percentile_approx(x, shares, 1000)).first()[0] or [0.0, 1.0]
+        q = self.df.agg(F.percentile_approx(x, shares, 20 * cuts_of)).first()[0] or [0.0, 1.0]
         q = sorted(set(q))
         if len(q) < 2:
             return F.lit(0)
@@ -175,7 +180,11 @@ class Ordered:
     def pct_change(self, v: Column, n: int = 1, name: str = "pct_change") -> DataFrame:
         from ferrowick.functions.math import fdiv
 
-        return self.framed({name: lambda w: fdiv(v - F.lag(v, n).over(w), F.lag(v, n).over(w))}, n, 0)
+        def f(w) -> Column:
+            old = (F.lag(v, n) if n >= 0 else F.lead(v, -n)).over(w)
+            return fdiv(v - old, old)
+
+        return self.framed({name: f}, max(n, 0), max(-n, 0))
 
     def rolling(self, v: Column, window: int, how: str = "sum", min_periods: int | None = None, center: bool = False, name: str | None = None) -> DataFrame:
         """sum, mean, min, max, count, std, var or median over ``window`` rows up to (or around) each row.
@@ -186,15 +195,44 @@ class Ordered:
             raise ValueError("window must be positive")
         need = window if min_periods is None else min_periods
         back, ahead = (window // 2, (window - 1) // 2) if center else (window - 1, 0)
-        aggs = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "count": F.count, "std": F.stddev_samp, "var": F.var_samp, "median": lambda c: F.percentile(c, F.lit(0.5))}
 
         def f(w) -> Column:
             r = w.rowsBetween(-back, ahead)
             have = F.count(F.lit(1)).over(r) if how == "count" else F.count(v).over(r)
-            return F.when(have >= need, aggs[how](v).over(r))
+            return F.when(have >= need, ROLLING[how](v).over(r))
 
         return self.framed({name or f"rolling_{how}": f}, back, ahead)
 
+    def rolling_apply(self, v: Column, window: int, f: Callable[[Column], Column], min_periods: int | None = None, name: str = "rolling_apply") -> DataFrame:
+        """f of the array of the window's values that are not NULL, oldest first."""
+        need = window if min_periods is None else min_periods
+        r = lambda w: w.rowsBetween(-(window - 1), 0)
+        held = self.framed({name: lambda w: F.when(F.count(v).over(r(w)) >= need, F.collect_list(v).over(r(w)))}, window - 1, 0)
+        return held.withColumn(name, F.when(F.col(name).isNotNull(), f(F.col(name))))
+
+    # ------------------------------------------------------------ frames
+
+    def cumulative(self, op: str, columns: Sequence[str]) -> DataFrame:
+        """The key and the running sum, min, max or product of each of the columns, in one pass."""
+        out = self.running(**{f"__o_{c}": (op, F.col(c)) for c in columns})
+        return out.select(self.key, *[F.col(f"__o_{c}").alias(c) for c in columns])
+
+    def rolling_frame(self, columns: Sequence[str], window: int, how: str = "sum", min_periods: int | None = None) -> DataFrame:
+        """The key and the rolling aggregate of each of the columns, in one pass."""
+        if window < 1:
+            raise ValueError("window must be positive")
+        need = window if min_periods is None else min_periods
+
+        def one(c: str) -> Callable:
+            def f(w) -> Column:
+                r = w.rowsBetween(-(window - 1), 0)
+                return F.when(F.count(c).over(r) >= need, ROLLING[how](F.col(c)).over(r))
+
+            return f
+
+        out = self.framed({f"__o_{c}": one(c) for c in columns}, window - 1, 0)
+        return out.select(self.key, *[F.col(f"__o_{c}").alias(c) for c in columns])
+
     # ------------------------------------------------------------ rank and order
 
     def rank(self, value: str, name: str = "rank") -> DataFrame:
@@ -208,8 +246,27 @@ class Ordered:
         ranks = up.select("__v", (F.col("__up") - (F.col("__n") - 1) / 2).alias(name))
         return self.df.join(ranks, F.col(value) == F.col("__v"), "left").drop("__v")
 
+    def sorted_positions(self, value: str, ascending: bool = True, name: str = "position") -> DataFrame:
+        """Each row's place from 0 in the order of a column's values, NULLs last either way, ties in the order of the key.
+
+        A row's place is the count of rows with lesser values, of rows of its value in earlier ranges
+        of the key, and of those before it in its range; so a value that fills the table is no single task.
+        """
+        df = self.df.withColumn("__r", self._range)
+        per = df.groupBy(F.col(value).alias("__v"), F.col("__r").alias("__s")).agg(F.count("*").alias("__n"))
+        before = Window.partitionBy("__v").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+        part = per.withColumn("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+        counts = per.where("__v is not null").groupBy("__v").agg(F.sum("__n").alias("__n"))
+        up = Ordered(counts, "__v", self.ranges).running(__up=("sum", F.col("__n")))
+        total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__t"))  # one row
+        lesser = up.crossJoin(F.broadcast(total)).select(F.col("__v").alias("__w"), (F.col("__up") - F.col("__n") if ascending else F.col("__t") - F.col("__up")).alias("__l"))
+        part = part.join(lesser, F.col("__v") == F.col("__w"), "left").crossJoin(F.broadcast(total))
+        part = part.select("__v", "__s", (F.coalesce("__l", "__t") + F.col("__b")).alias("__o"))
+        joined = df.join(part, F.col(value).eqNullSafe(F.col("__v")) & (F.col("__r") == F.col("__s")))
+        at = F.row_number().over(Window.partitionBy("__v", "__r").orderBy(self.key)) - 1
+        return joined.select(*[F.col(f"`{c}`") for c in self.df.columns], (F.col("__o") + at).alias(name))
+
     def argsort(self, value: str, ascending: bool = True) -> DataFrame:
-        """(rank, position): the places of the rows in the order of the value, ties in place order, NULLs last."""
-        placed = self.positions("position").select(F.col(value).alias("__v"), "position")
-        order = F.col("__v").asc_nulls_last() if ascending else F.col("__v").desc_nulls_last()
-        return placed.orderBy(order, "position").select("position")
+        """(rank, position), sorted: for each place in the order of the value, the row's place in the order of the key."""
+        placed = Ordered(self.positions("position").select(self.key, value, "position"), self.key, self.ranges)
+        return placed.sorted_positions(value, ascending, "rank").select("rank", "position").orderBy("rank")

@@ -11,6 +11,7 @@ from ferrowick.functions import datetimes as dt
 from ferrowick.functions import math as m
 from ferrowick.functions import strings as st
 from ferrowick.operators import relational as rel
+from ferrowick.operators.indexed import set_index
 from ferrowick.operators.scan import Ordered
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,8 +83,6 @@ add("elementwise_div_zero", lambda t: t.events.select("event_id", m.fdiv(F.col("
     "SELECT event_id, value::DOUBLE / (event_id % 3)::DOUBLE AS v FROM events")
 add("elementwise_frame_scalar", lambda t: rel.apply_columns(t.events.select("event_id", "user_id", "value"), lambda c: c + 1, ["user_id", "value"]),
     "SELECT event_id, user_id + 1 AS user_id, value + 1 AS value FROM events")
-add("elementwise_frame_frame", lambda t: rel.align(t.orders.select("o_orderkey", "o_totalprice").where("o_orderkey < 900"), t.orders.select("o_orderkey", "o_totalprice").where("o_orderkey >= 300"), "o_orderkey", lambda a, b: a + b, ["o_totalprice"]),
-    "SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, a.o_totalprice + b.o_totalprice AS o_totalprice FROM (SELECT * FROM orders WHERE o_orderkey < 900) a FULL JOIN (SELECT * FROM orders WHERE o_orderkey >= 300) b ON a.o_orderkey = b.o_orderkey")
 add("multi_column_fusion", lambda t: t.lineitem.select("l_orderkey", "l_extendedprice", "l_discount", "l_tax").withColumns({
         "net": F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 6), "gross": F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")), 6)}).drop("l_discount", "l_tax"),
     "SELECT l_orderkey, l_extendedprice, round(l_extendedprice * (1 - l_discount), 6) AS net, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS gross FROM lineitem")
@@ -176,14 +175,26 @@ add("groupby_multi_agg", lambda t: rel.group_by(t.lineitem, "l_returnflag").agg(
 add("groupby_multi_key", lambda t: rel.group_by(t.lineitem, ["l_returnflag", "l_linestatus"]).agg(s=("sum", "l_quantity"), n=("size", "l_tax")), "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS s, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus")
 add("groupby_all_columns", lambda t: rel.group_by(t.part.select("p_brand", "p_size", "p_retailprice"), "p_brand").all("max"), "SELECT p_brand, max(p_size) AS p_size, max(p_retailprice) AS p_retailprice FROM part GROUP BY p_brand")
 add("groupby_transform", lambda t: rel.group_by(t.events.select("event_id", "user_id", "value"), "user_id").transform("total", "sum", "value").withColumn("total", F.round("total", 4)), "SELECT event_id, user_id, value, round(sum(value) OVER (PARTITION BY user_id), 4) AS total FROM events")
+add("groupby_transform_dropna", lambda t: rel.group_by(t.events.select("event_id", F.expr(NULLKEY).alias("k"), "value"), "k").transform("total", "max", "value"), f"SELECT event_id, k, value, CASE WHEN k IS NOT NULL THEN max(value) OVER (PARTITION BY k) END AS total FROM (SELECT event_id, {NULLKEY} AS k, value FROM events)")
+add("groupby_transform_null_keys", lambda t: rel.group_by(t.events.select("event_id", F.expr(NULLKEY).alias("k"), "value"), "k", dropna=False).transform("total", "max", "value"), f"SELECT event_id, k, value, max(value) OVER (PARTITION BY k) AS total FROM (SELECT event_id, {NULLKEY} AS k, value FROM events)")
+for op, agg in (("std", "round(stddev_samp(value), 6)"), ("var", "round(var_samp(value), 4)"), ("nunique", "count(DISTINCT value)"), ("first", "arg_min(value, event_id)"), ("last", "arg_max(value, event_id)"), ("size", "count(*)")):
+    d = {"std": 6, "var": 4}.get(op)
+    add(f"groupby_{op}", lambda t, op=op, d=d: (lambda g: g.withColumn("v", F.round("v", d)) if d else g)(rel.group_by(t.events, "user_id", order="event_id").agg(v=(op, "value"))), f"SELECT user_id, {agg} AS v FROM events GROUP BY user_id")
+add("groupby_sorted", lambda t: rel.group_by(t.events, "user_id", sort=True).agg(v=("max", "value")), "SELECT user_id, max(value) AS v FROM events GROUP BY user_id ORDER BY user_id")
+add("groupby_agg_list", lambda t: rel.group_by(t.part.select("p_brand", "p_size", "p_retailprice"), "p_brand").agg(["min", "max", "count"]), "SELECT p_brand, min(p_size) AS p_size_min, max(p_size) AS p_size_max, count(p_size) AS p_size_count, min(p_retailprice) AS p_retailprice_min, max(p_retailprice) AS p_retailprice_max, count(p_retailprice) AS p_retailprice_count FROM part GROUP BY p_brand")
+add("groupby_agg_dict", lambda t: rel.group_by(t.part, "p_brand").agg({"p_size": ["min", "nunique"], "p_retailprice": "max"}), "SELECT p_brand, min(p_size) AS p_size_min, count(DISTINCT p_size) AS p_size_nunique, max(p_retailprice) AS p_retailprice FROM part GROUP BY p_brand")
+add("groupby_level", lambda t: set_index(t.events.select("user_id", "event_type", "value"), ["user_id", "event_type"]).group_by([0, "event_type"]).agg(v=("max", "value")), "SELECT user_id, event_type, max(value) AS v FROM events GROUP BY ALL")
 add("groupby_median", lambda t: rel.group_by(t.events, "event_type").agg(v=("median", "value")).withColumn("v", F.round("v", 6)), "SELECT event_type, round(median(value), 6) AS v FROM events GROUP BY event_type")
 add("groupby_min_datetime", lambda t: rel.group_by(t.events, "event_type").agg(lo=("min", "ts"), hi=("max", "ts")), "SELECT event_type, min(ts) AS lo, max(ts) AS hi FROM events GROUP BY event_type")
 
 # ---------------------------------------------------------------- joins
 
-CUST = lambda t: t.customer.where("c_custkey < 700").select(F.col("c_custkey").alias("k"), "c_name", "c_acctbal")
-ORD = lambda t: t.orders.where("o_custkey > 600").select(F.col("o_custkey").alias("k"), "o_orderkey", "o_totalprice")
-C_SQL, O_SQL = "(SELECT c_custkey AS k, c_name, c_acctbal FROM customer WHERE c_custkey < 700) c", "(SELECT o_custkey AS k, o_orderkey, o_totalprice FROM orders WHERE o_custkey > 600) o"
+# keys are doubled, and made odd for some rows of either side, so that part of them has no match
+ODD = "2 * {0} + CASE WHEN {0} % {1} = 0 THEN 1 ELSE 0 END"
+odd = lambda key, n: F.expr(ODD.format(key, n))
+CUST = lambda t: t.customer.select(odd("c_custkey", 5).alias("k"), "c_name", "c_acctbal")
+ORD = lambda t: t.orders.select(odd("o_custkey", 7).alias("k"), "o_orderkey", "o_totalprice")
+C_SQL, O_SQL = f"(SELECT {ODD.format('c_custkey', 5)} AS k, c_name, c_acctbal FROM customer) c", f"(SELECT {ODD.format('o_custkey', 7)} AS k, o_orderkey, o_totalprice FROM orders) o"
 for how, sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
     add(f"merge_{how}", lambda t, how=how: rel.merge(CUST(t), ORD(t), how, "k"), f"SELECT coalesce(c.k, o.k) AS k, c_name, c_acctbal, o_orderkey, o_totalprice FROM {C_SQL} {sql} {O_SQL} ON c.k = o.k")
 add("merge_semi", lambda t: rel.merge(CUST(t), ORD(t), "semi", "k"), f"SELECT * FROM {C_SQL} WHERE EXISTS (SELECT 1 FROM {O_SQL} WHERE o.k = c.k)")
@@ -198,24 +209,9 @@ NK = "CASE WHEN {0} % 3 = 0 THEN NULL ELSE {0} END"
 add("merge_null_safe", lambda t: rel.merge(t.nation.select(F.expr(NK.format("n_nationkey")).alias("k"), "n_name"), t.region.select(F.expr(NK.format("r_regionkey")).alias("k"), "r_name"), on="k"),
     f"SELECT a.k, n_name, r_name FROM (SELECT {NK.format('n_nationkey')} AS k, n_name FROM nation) a JOIN (SELECT {NK.format('r_regionkey')} AS k, r_name FROM region) b ON a.k IS NOT DISTINCT FROM b.k")
 add("merge_cross", lambda t: rel.merge(t.nation.select("n_name"), t.region.select("r_name"), "cross"), "SELECT n_name, r_name FROM nation CROSS JOIN region")
-add("combine_first", lambda t: rel.combine_first(t.events.select("event_id", F.expr(HOLES).alias("value")).where("event_id < 5000"), t.events.select("event_id", (F.col("value") * 2).alias("value")).where("event_id > 2000"), "event_id"),
-    f"SELECT coalesce(a.event_id, b.event_id) AS event_id, coalesce(a.value, b.value) AS value FROM (SELECT event_id, {HOLES} AS value FROM events WHERE event_id < 5000) a FULL JOIN (SELECT event_id, value * 2 AS value FROM events WHERE event_id > 2000) b ON a.event_id = b.event_id")
-
-# the same over whole tables: keys are doubled, and made odd for some rows of either side, so that part of them has no match
-
-ODD = "2 * {0} + CASE WHEN {0} % {1} = 0 THEN 1 ELSE 0 END"
-odd = lambda key, n: F.expr(ODD.format(key, n))
-ALL_CUST = lambda t: t.customer.select(odd("c_custkey", 5).alias("k"), "c_name", "c_acctbal")
-ALL_ORD = lambda t: t.orders.select(odd("o_custkey", 7).alias("k"), "o_orderkey", "o_totalprice")
-AC_SQL, AO_SQL = f"(SELECT {ODD.format('c_custkey', 5)} AS k, c_name, c_acctbal FROM customer) c", f"(SELECT {ODD.format('o_custkey', 7)} AS k, o_orderkey, o_totalprice FROM orders) o"
-for how, sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
-    add(f"merge_{how}_whole", lambda t, how=how: rel.merge(ALL_CUST(t), ALL_ORD(t), how, "k"), f"SELECT coalesce(c.k, o.k) AS k, c_name, c_acctbal, o_orderkey, o_totalprice FROM {AC_SQL} {sql} {AO_SQL} ON c.k = o.k")
-add("merge_semi_whole", lambda t: rel.merge(ALL_CUST(t), ALL_ORD(t), "semi", "k"), f"SELECT * FROM {AC_SQL} WHERE EXISTS (SELECT 1 FROM {AO_SQL} WHERE o.k = c.k)")
-add("merge_anti_whole", lambda t: rel.merge(ALL_CUST(t), ALL_ORD(t), "anti", "k"), f"SELECT * FROM {AC_SQL} WHERE NOT EXISTS (SELECT 1 FROM {AO_SQL} WHERE o.k = c.k)")
-add("merge_inferred_columns_whole", lambda t: rel.merge(ALL_CUST(t), ALL_ORD(t)), f"SELECT c.k, c_name, c_acctbal, o_orderkey, o_totalprice FROM {AC_SQL} JOIN {AO_SQL} ON c.k = o.k")
-add("combine_first_whole", lambda t: rel.combine_first(t.events.select(odd("event_id", 5).alias("k"), F.expr(HOLES).alias("value")), t.events.select(odd("event_id", 7).alias("k"), (F.col("value") * 2).alias("value")), "k"),
+add("combine_first", lambda t: rel.combine_first(t.events.select(odd("event_id", 5).alias("k"), F.expr(HOLES).alias("value")), t.events.select(odd("event_id", 7).alias("k"), (F.col("value") * 2).alias("value")), "k"),
     f"SELECT coalesce(a.k, b.k) AS k, coalesce(a.value, b.value) AS value FROM (SELECT {ODD.format('event_id', 5)} AS k, {HOLES} AS value FROM events) a FULL JOIN (SELECT {ODD.format('event_id', 7)} AS k, value * 2 AS value FROM events) b ON a.k = b.k")
-add("elementwise_frame_frame_whole", lambda t: rel.align(t.orders.select(odd("o_orderkey", 5).alias("k"), "o_totalprice"), t.orders.select(odd("o_orderkey", 7).alias("k"), "o_totalprice"), "k", lambda a, b: a + b, ["o_totalprice"]),
+add("elementwise_frame_frame", lambda t: rel.align(t.orders.select(odd("o_orderkey", 5).alias("k"), "o_totalprice"), t.orders.select(odd("o_orderkey", 7).alias("k"), "o_totalprice"), "k", lambda a, b: a + b, ["o_totalprice"]),
     f"SELECT coalesce(a.k, b.k) AS k, a.o_totalprice + b.o_totalprice AS o_totalprice FROM (SELECT {ODD.format('o_orderkey', 5)} AS k, o_totalprice FROM orders) a FULL JOIN (SELECT {ODD.format('o_orderkey', 7)} AS k, o_totalprice FROM orders) b ON a.k = b.k")
 
 # ---------------------------------------------------------------- ordered operators
@@ -251,7 +247,21 @@ for how, agg in (("sum", "sum(h)"), ("mean", "avg(h)"), ("min", "min(h)"), ("max
 ordered("rolling_min_periods_1", lambda o: o.rolling(H(), 4, "sum", 1, name="v"), "sum(h) OVER (ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)", 6)
 ordered("rolling_center", lambda o: o.rolling(H(), 4, "max", 1, center=True, name="v"), "max(h) OVER (ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)")
 add("rank_average", lambda t: Ordered(t.events.select("event_id", "user_id"), "event_id").rank("user_id", "v"), "SELECT event_id, user_id, rank() OVER (ORDER BY user_id) + (count(*) OVER (PARTITION BY user_id) - 1) / 2.0::DOUBLE AS v FROM events")
-add("argsort", lambda t: Ordered(t.events.select("event_id", F.col("user_id").alias("u")), "event_id").argsort("u"), "SELECT row_number() OVER (ORDER BY event_id) - 1 AS position FROM events")
+for name, up in (("argsort", True), ("argsort_desc", False)):
+    add(name, lambda t, up=up: Ordered(t.events.select("event_id", F.expr(NULLKEY).alias("u")), "event_id").argsort("u", up),
+        f"SELECT row_number() OVER (ORDER BY u {'ASC' if up else 'DESC'} NULLS LAST, p) - 1 AS rank, p AS position FROM (SELECT {NULLKEY} AS u, row_number() OVER (ORDER BY event_id) - 1 AS p FROM events)")
+for n in (-1, -3, 2):
+    ordered(f"pct_change_{n}".replace("-", "neg_"), lambda o, n=n: o.pct_change(H(), n, "v"), f"(h - {'lag' if n > 0 else 'lead'}(h, {abs(n)}) OVER (ORDER BY event_id)) / {'lag' if n > 0 else 'lead'}(h, {abs(n)}) OVER (ORDER BY event_id)", 6)
+ordered("diff_neg", lambda o: o.diff(H(), -2, "v"), "h - lead(h, 2) OVER (ORDER BY event_id)", 6)
+ordered("rolling_apply", lambda o: o.rolling_apply(H(), 5, lambda a: F.array_max(a) - F.array_min(a), 2, "v"), "CASE WHEN count(h) OVER (ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) >= 2 THEN max(h) OVER (ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) - min(h) OVER (ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END", 6)
+FR = lambda t: Ordered(t.events.select("event_id", F.expr(HOLES).alias("h"), F.col("user_id").cast("double").alias("u")), "event_id")
+FR_SQL = f"(SELECT event_id, {HOLES} AS h, user_id::DOUBLE AS u FROM events)"
+for op, agg in (("sum", "sum"), ("min", "min"), ("max", "max")):
+    add(f"frame_cum{op}", lambda t, op=op: FR(t).cumulative(op, ["h", "u"]).select("event_id", F.round("h", 3).alias("h"), "u"), f"SELECT event_id, round(CASE WHEN h IS NOT NULL THEN {agg}(h) {UP} END, 3) AS h, {agg}(u) {UP} AS u FROM {FR_SQL}")
+for how, agg in (("sum", "sum"), ("mean", "avg"), ("max", "max")):
+    W3 = "OVER (ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"
+    add(f"frame_rolling_{how}", lambda t, how=how: FR(t).rolling_frame(["h", "u"], 3, how, 2).select("event_id", F.round("h", 6).alias("h"), F.round("u", 6).alias("u")),
+        f"SELECT event_id, round(CASE WHEN count(h) {W3} >= 2 THEN {agg}(h) {W3} END, 6) AS h, round(CASE WHEN count(u) {W3} >= 2 THEN {agg}(u) {W3} END, 6) AS u FROM {FR_SQL}")
 
 # ---------------------------------------------------------------- datetime
 
@@ -272,7 +282,6 @@ for name, f, sql in (
 ):
     column(name, "events", "event_id", f, sql)
 add("dt_shift", lambda t: Ordered(t.events.select("event_id", "ts"), "event_id").shift(F.col("ts"), 1, "v"), "SELECT event_id, ts, lag(ts) OVER (ORDER BY event_id) AS v FROM events")
-add("dt_sort", lambda t: rel.sort_values(t.events.select("ts"), "ts", False), "SELECT ts FROM events ORDER BY ts DESC")
 
 # ---------------------------------------------------------------- strings
 
@@ -324,18 +333,20 @@ for name, table, key, f, sql in (
 ):
     column(f"str_{name}", table, key, f, sql)
 column("str_title", "part", "p_partkey", lambda: st.title("p_name"), "list_aggregate(list_transform(regexp_extract_all(p_name, '\\p{L}+|\\P{L}+'), lambda x: upper(left(x, 1)) || lower(substr(x, 2))), 'string_agg', '')")
-add("str_sort", lambda t: rel.sort_values(t.customer.select("c_name"), "c_name"), "SELECT c_name FROM customer ORDER BY c_name")
 add("str_groupby", lambda t: rel.group_by(t.documents, "lang").agg(n=("count", "text"), longest=("max", "n_chars")), "SELECT lang, count(text) AS n, max(n_chars) AS longest FROM documents GROUP BY lang")
 
 # ---------------------------------------------------------------- order, limits, reshaping
 
-add("sort_asc", lambda t: rel.sort_values(t.orders.select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"]), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY 2, 1")
-add("sort_desc", lambda t: rel.sort_values(t.orders.select("o_orderkey", "o_totalprice"), "o_totalprice", False), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY 2 DESC")
-add("sort_nulls_last", lambda t: rel.sort_values(t.events.select("event_id", F.expr(HOLES).alias("h")), "h"), f"SELECT event_id, {HOLES} AS h FROM events ORDER BY h NULLS LAST")
-add("sort_expr", lambda t: t.events.select("event_id", "value").orderBy(F.col("value") * -1 + 3), "SELECT event_id, value FROM events ORDER BY value * -1 + 3")
+# a result's rows are compared without their order, so each has its place in it beside it
+for name, table, key, v, up in (
+    ("sort_asc", "orders", "o_orderkey", "o_totalprice", True), ("sort_desc", "orders", "o_orderkey", "o_totalprice", False), ("str_sort", "customer", "c_custkey", "c_name", True), ("str_sort_ties", "part", "p_partkey", "p_brand", False),
+    ("dt_sort", "events", "event_id", "ts", False), ("sort_nulls_last", "events", "event_id", HOLES, True), ("sort_nulls_last_desc", "events", "event_id", HOLES, False), ("sort_expr", "events", "event_id", "value * -1 + 3", True),
+):
+    add(name, lambda t, table=table, key=key, v=v, up=up: rel.sort_values(Ordered(getattr(t, table).select(key, F.expr(v).alias("v")), key).sorted_positions("v", up), ["v", key], [up, True]),
+        f"SELECT {key}, v, row_number() OVER (ORDER BY v {'ASC' if up else 'DESC'} NULLS LAST, {key}) - 1 AS position FROM (SELECT {key}, {v} AS v FROM {table})")
 add("head", lambda t: rel.head(t.events.select("event_id", "value"), "event_id", 20), "SELECT event_id, value FROM events ORDER BY event_id LIMIT 20")
 add("tail", lambda t: rel.tail(t.events.select("event_id", "value"), "event_id", 20), "SELECT event_id, value FROM events ORDER BY event_id DESC LIMIT 20")
-add("sample", lambda t: rel.sample(t.events.select("event_id", "value"), "event_id", 50, 3), None)
+add("sample", lambda t: rel.sample(t.events.select("event_id", "value"), "event_id", 50, 3), "SELECT event_id, value FROM events ORDER BY md5('3:' || event_id), event_id LIMIT 50")
 add("concat_rows", lambda t: rel.concat(t.nation.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("a")), t.region.select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("b"))), "SELECT n_name AS name, n_nationkey AS a, NULL::INT AS b FROM nation UNION ALL SELECT r_name, NULL, r_regionkey FROM region")
 add("melt", lambda t: rel.melt(t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_tax", "l_discount"), ["l_orderkey", "l_partkey", "l_linenumber"], ["l_tax", "l_discount"]), "SELECT l_orderkey, l_partkey, l_linenumber, 'l_tax' AS variable, l_tax AS value FROM lineitem UNION ALL SELECT l_orderkey, l_partkey, l_linenumber, 'l_discount', l_discount FROM lineitem")
 add("pivot", lambda t: rel.pivot(t.events, "user_id", "event_type", "value", ["click", "view"], "count"), "SELECT user_id, count(value) FILTER (event_type = 'click') AS click, count(value) FILTER (event_type = 'view') AS view FROM events GROUP BY user_id")
@@ -351,3 +362,23 @@ add("insert_column", lambda t: rel.insert(t.nation, 1, "twice", F.col("n_nationk
 add("cat_codes", lambda t: rel.cat_codes(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderpriority", "v"), "SELECT o_orderkey, o_orderpriority, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS v FROM orders")
 add("map_rows", lambda t: rel.map_rows(t.nation.select("n_nationkey", "n_name"), lambda p: p.assign(n_name=p.n_name.str[::-1]), "n_nationkey int, n_name string"), "SELECT n_nationkey, reverse(n_name) AS n_name FROM nation")
 add("group_apply", lambda t: rel.group_by(t.events.select("event_type", "value"), "event_type").apply(lambda p: p.groupby("event_type", as_index=False).agg(v=("value", "max")), "event_type string, v double"), "SELECT event_type, max(value) AS v FROM events GROUP BY event_type")
+add("stack", lambda t: rel.stack(t.events.select("event_id", F.expr(HOLES).alias("h"), F.col("value").alias("w")), "event_id"), f"SELECT event_id, 'h' AS variable, {HOLES} AS value FROM events WHERE {HOLES} IS NOT NULL UNION ALL SELECT event_id, 'w', value FROM events WHERE value IS NOT NULL")
+add("categories", lambda t: rel.categories(t.orders, "o_orderpriority"), "SELECT dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS code, o_orderpriority AS category FROM (SELECT DISTINCT o_orderpriority FROM orders)")
+add("rename_categories", lambda t: rel.rename_categories(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderstatus", {"O": "open", "F": "filled"}), "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'filled' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+add("frame_fillna", lambda t: rel.fillna(t.events.select("event_id", F.expr(HOLES).alias("h"), F.expr(NULLKEY).alias("k")), {"h": -1.5, "k": 0}), f"SELECT event_id, coalesce({HOLES}, -1.5) AS h, coalesce({NULLKEY}, 0) AS k FROM events")
+add("frame_round", lambda t: rel.round_columns(t.events.select("event_id", (F.floor("value") / 8).alias("a"), (F.floor("value") / 16).alias("b")), {"a": 1, "b": 2}), "SELECT event_id, round_even(floor(value) / 8, 1) AS a, round_even(floor(value) / 16, 2) AS b FROM events")
+add("drop_rows", lambda t: rel.drop_rows(t.nation, "n_nationkey", [3, 5, 24]), "SELECT * FROM nation WHERE n_nationkey NOT IN (3, 5, 24)")
+add("shape", lambda t: rel.shape(t.events.select("event_id", "user_id", "value")), "SELECT count(*) AS rows, 3 AS columns, count(*) * 3 AS size, count(*) = 0 AS empty FROM events")
+add("dtypes", lambda t: rel.dtypes(t.events.select("event_id", "event_type", "value")), "SELECT * FROM (VALUES ('event_id', 'bigint'), ('event_type', 'string'), ('value', 'double')) AS v(\"column\", type)")
+add("join_positions", lambda t: rel.join_positions(t.nation.select("n_nationkey", F.col("n_regionkey").alias("k")), t.region.select("r_regionkey", F.col("r_regionkey").alias("k")), "k", "n_nationkey", "r_regionkey"),
+    "SELECT a.p AS \"left\", b.p AS \"right\" FROM (SELECT n_regionkey AS k, row_number() OVER (ORDER BY n_nationkey) - 1 AS p FROM nation) a JOIN (SELECT r_regionkey AS k, row_number() OVER (ORDER BY r_regionkey) - 1 AS p FROM region) b ON a.k = b.k")
+add("index_join", lambda t: set_index(t.customer.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v")), "k").join(set_index(t.orders.groupBy(F.col("o_custkey").alias("i")).agg(F.max("o_totalprice").alias("v")), "i"), "left", "_l", "_r").reset_index(),
+    "SELECT c_custkey AS k, c_acctbal AS v_l, m AS v_r FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS m FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey")
+add("loc_labels", lambda t: set_index(t.events, "event_id").loc([3, 5, 4000], ["value", "user_id"]), "SELECT event_id, value, user_id FROM events WHERE event_id IN (3, 5, 4000)")
+add("loc_slice", lambda t: set_index(t.events, "event_id").loc(slice(10, 90), "value"), "SELECT event_id, value FROM events WHERE event_id BETWEEN 10 AND 90")
+add("loc_mask", lambda t: set_index(t.events, "event_id").loc(F.col("value") > 100, "value"), "SELECT event_id, value FROM events WHERE value > 100")
+add("iloc_slice", lambda t: set_index(t.events.select("event_id", "value"), "event_id").iloc(100, 120), "SELECT event_id, value FROM (SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS p FROM events) WHERE p BETWEEN 100 AND 119")
+add("sort_index", lambda t: set_index(t.nation, "n_nationkey").sort_index(False), "SELECT * FROM nation ORDER BY n_nationkey DESC")
+add("reset_index_drop", lambda t: set_index(t.nation, "n_nationkey").reset_index(drop=True), "SELECT n_name, n_regionkey FROM nation")
+add("int_div_large", lambda t: t.events.select("event_id", m.int_div(F.col("event_id") + 9007199254740993, 3).alias("v")), "SELECT event_id, (event_id + 9007199254740993) // 3 AS v FROM events")
+add("floordiv_zero", lambda t: t.events.select("event_id", m.floordiv(F.col("event_id") % 5 - 2, F.col("event_id") % 3).alias("v")), "SELECT event_id, floor((event_id % 5 - 2)::DOUBLE / (event_id % 3)::DOUBLE) AS v FROM events")

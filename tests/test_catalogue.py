@@ -62,7 +62,7 @@ def test_ordered_plans_use_no_single_task_window(spark, name):
 
 
 def test_whole_joins_keep_every_row_and_leave_some_unmatched(spark):
-    run = lambda name: QUERIES[f"{name}_whole"](spark, SF)
+    run = lambda name: QUERIES[name](spark, SF)
     n = {t: spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("customer", "orders", "events")}
     outer = run("merge_outer")
     assert outer.select("c_name").distinct().where("c_name is not null").count() == run("merge_left").select("c_name").distinct().count() == n["customer"]

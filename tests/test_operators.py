@@ -12,6 +12,7 @@ from ferrowick.functions import datetimes as dt
 from ferrowick.functions import math as m
 from ferrowick.functions import strings as st
 from ferrowick.operators import relational as rel
+from ferrowick.operators.indexed import set_index
 from ferrowick.operators.scan import Ordered
 from ferrowick.sources import io
 
@@ -86,7 +87,7 @@ def test_division_and_logs_are_ieee(spark):
             for x, y in ((r[0], np.float64(v) / np.float64(0)), (r[1], np.log(np.float64(v))), (r[2], np.rint(v))):
                 assert x == y or (math.isnan(x) and math.isnan(y))
     ints = spark.createDataFrame([(7, 2), (-7, 2), (7, -2), (5, 0), (None, 1)], "a long, b long")
-    assert [tuple(r) for r in ints.select(m.int_div("a", "b"), m.mod("a", "b"), m.pmod("a", "b"), m.floordiv("a", "b")).collect()] == [(3, 1, 1, 3.0), (-3, -1, 1, -4.0), (-3, 1, -1, -4.0), (None, None, None, None), (None, None, None, None)]
+    assert [tuple(r) for r in ints.select(m.int_div("a", "b"), m.mod("a", "b"), m.pmod("a", "b"), m.floordiv("a", "b")).collect()] == [(3, 1, 1, 3.0), (-3, -1, 1, -4.0), (-3, 1, -1, -4.0), (None, None, None, math.inf), (None, None, None, None)]
 
 
 def test_comparisons_are_two_valued(spark):
@@ -171,3 +172,72 @@ def test_sources(spark, tmp_path):
     assert io.to_list(io.column(spark, [3, 1], "v", "int"), "v", "i") == [3, 1]
     nan = io.from_pandas(spark, pd.DataFrame({"a": [1.0, np.nan]}))
     assert nan.where("a is null").count() == 1
+
+
+def test_sorts_collect_in_order(spark):
+    data = [(i, v) for i, v in enumerate([3.0, None, 1.0, 2.0, None, 1.0])]
+    df = spark.createDataFrame(data, "k long, v double").repartition(3)
+    assert [r.k for r in rel.sort_values(df, ["v", "k"]).collect()] == [2, 5, 3, 0, 1, 4]
+    assert [r.k for r in rel.sort_values(df, ["v", "k"], [False, True]).collect()] == [0, 3, 2, 5, 1, 4]
+    assert [r.v for r in rel.group_by(df, "v", sort=True).agg(n=("size", "k")).collect()] == [1.0, 2.0, 3.0]
+    for up in (True, False):
+        placed = Ordered(df, "k", ranges=3).sorted_positions("v", up).collect()
+        want = sorted(data, key=lambda r: (r[1] is None, (r[1] or 0) * (1 if up else -1), r[0]))
+        assert [r.k for r in sorted(placed, key=lambda r: r.position)] == [k for k, _ in want]
+    same = spark.range(500).selectExpr("id as k", "1.0 as v")
+    assert [r.position for r in sorted(Ordered(same, "k", ranges=7).sorted_positions("v").collect(), key=lambda r: r.k)] == list(range(500))
+    assert Ordered(df.where("false"), "k").sorted_positions("v").count() == 0
+
+
+def test_groups_need_an_order_for_first_and_keep_null_keys(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, "a", 5.0), (3, None, 7.0), (4, "b", None), (5, None, 1.0)], "k long, g string, v double")
+    with pytest.raises(ValueError):
+        rel.group_by(df, "g").agg(v=("first", "v"))
+    got = {r.g: (r.f, r.l) for r in rel.group_by(df, "g", dropna=False, order="k").agg(f=("first", "v"), l=("last", "v")).collect()}
+    assert got == {"a": (5.0, 5.0), "b": (None, None), None: (7.0, 1.0)}
+    assert {r.k: r.t for r in rel.group_by(df, "g").transform("t", "sum", "v").collect()} == {1: 5.0, 2: 5.0, 3: None, 4: None, 5: None}
+    assert {r.k: r.t for r in rel.group_by(df, "g", dropna=False).transform("t", "sum", "v").collect()} == {1: 5.0, 2: 5.0, 3: 8.0, 4: None, 5: 8.0}
+
+
+def test_integer_division_is_exact_and_floors_follow_ieee(spark):
+    big = 9007199254740993
+    df = spark.createDataFrame([(big, 1), (-big, 2), (2**63 - 1, 3), (7, 0), (-7, 2), (None, 1)], "a long, b long")
+    assert [r[0] for r in df.select(m.int_div("a", "b")).collect()] == [big, -(big // 2), (2**63 - 1) // 3, None, -3, None]
+    inf = float("inf")
+    f = spark.createDataFrame([(7.0, 2.0), (-7.0, 2.0), (1.0, 0.0), (-1.0, 0.0), (1e300, 1.0), (None, 1.0)], "a double, b double")
+    assert [r[0] for r in f.select(m.floordiv("a", "b")).collect()] == [3.0, -4.0, inf, -inf, 1e300, None]
+    assert np.isnan(f.select(m.floordiv(F.lit(0.0), F.lit(0.0))).first()[0])
+    assert [r[0] for r in f.select(m.ceil(m.fdiv("a", "b"))).collect()][2:5] == [inf, -inf, 1e300]
+
+
+@pytest.mark.parametrize("n", [-5, -1, 0, 1, 4])
+def test_shifts_of_either_sign_equal_the_single_window(spark, n):
+    df = spark.range(20).selectExpr("id as k", "cast(id * id + 1 as double) as v")
+    for op in ("shift", "diff", "pct_change"):
+        many, one = (sorted(map(tuple, getattr(Ordered(df, "k", ranges=4, strategy=s), op)(F.col("v"), n, "x").collect())) for s in ("distributed", "single"))
+        assert str(many) == str(one), op
+
+
+def test_indexed_frames(spark):
+    x = set_index(spark.createDataFrame([(3, "c", 1.0), (1, "a", None), (2, "b", 5.0)], "i long, s string, v double"), "i")
+    assert x.at(2, "s") == "b" and x.iat(0, "s") == "a" and x.at(1, "v") is None
+    for call in (lambda: x.at(9, "s"), lambda: set_index(x.df, "nope")):
+        with pytest.raises(KeyError):
+            call()
+    with pytest.raises(IndexError):
+        x.iat(3, "s")
+    assert [r.i for r in x.sort_index(False).collect()] == [3, 2, 1]
+    assert {r.i for r in x.loc(slice(2, None)).collect()} == {2, 3} and x.loc([1, 7], "v").columns == ["i", "v"]
+    assert x.reset_index(drop=True).columns == ["s", "v"]
+    with pytest.raises(ValueError):
+        x.join(x)
+    assert x.join(x, lsuffix="_a", rsuffix="_b").reset_index().columns == ["i", "s_a", "v_a", "s_b", "v_b"]
+
+
+def test_reshaping_edges(spark):
+    df = spark.createDataFrame([(1, 2, "x"), (2, None, None)], "k long, a int, b string")
+    assert sorted(map(tuple, rel.stack(df, "k").collect())) == [(1, "a", "2"), (1, "b", "x")]
+    assert tuple(rel.shape(df.where("false")).first()) == (0, 3, 0, True)
+    with pytest.raises(ValueError):
+        rel.rename_categories(df, "b", {"x": "y", "z": "y"})
+    assert rel.drop_rows(df, "a", [2]).count() == 1
