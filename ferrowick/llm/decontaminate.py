@@ -82,7 +82,7 @@ def one_to_one(slots: Column) -> Column:
     return (values("b") == F.size(slots)) & (values("d") == F.size(slots))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", whole: bool = False, split: bool = False) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", whole: bool = False, split: bool = False, item_text: str = "text") -> DataFrame:
     """One row per (document row content, benchmark item) that meet: key, text_hash, item, windows
     (different item windows found again), first_word and last_word (of the document's region),
     exact (all slots have the item's own values).
@@ -97,7 +97,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     empty tables give no rows; other columns are ignored.
     """
     ws = Workspace(docs.sparkSession, "leaks")
-    bench = ws.save(benchmark_windows(benchmark, item, whole=whole), "windows")
+    bench = ws.save(benchmark_windows(benchmark, item, item_text, whole=whole), "windows")
     sizes = [r[0] for r in bench.where("plain").select("size").distinct().collect()] if whole else []
     base = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text).cast("string")).alias("th"), F.col(text).cast("string").alias("t"))
     hits = with_windows(with_tokens(base, "t", "w"), "w", "hs")
@@ -120,7 +120,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     who = regions.select(F.col("k").alias("rk"), F.col("th").alias("rth")).distinct()
     texts = base.join(who, F.col("k").eqNullSafe(F.col("rk")) & F.col("th").eqNullSafe(F.col("rth")), "left_semi").distinct()
     texts = ws.save(with_tokens(texts.withColumnsRenamed({"k": "dk", "th": "dth"}), "t", "dw"), "texts")
-    items = with_tokens(benchmark.select(F.col(item).alias("bi"), F.col("text").cast("string").alias("t")), "t", "bw").distinct()
+    items = with_tokens(benchmark.select(F.col(item).alias("bi"), F.col(item_text).cast("string").alias("t")), "t", "bw").distinct()
     r = regions.join(texts, F.col("k").eqNullSafe(F.col("dk")) & F.col("th").eqNullSafe(F.col("dth"))).join(items, F.col("item").eqNullSafe(F.col("bi")))
     if split:
         # a window stays if its own slots are consistent; the region then reaches from the first to the last that stays
