@@ -344,6 +344,9 @@ for name, table, key, v, up in (
 ):
     add(name, lambda t, table=table, key=key, v=v, up=up: rel.sort_values(Ordered(getattr(t, table).select(key, F.expr(v).alias("v")), key).sorted_positions("v", up), ["v", key], [up, True]),
         f"SELECT {key}, v, row_number() OVER (ORDER BY v {'ASC' if up else 'DESC'} NULLS LAST, {key}) - 1 AS position FROM (SELECT {key}, {v} AS v FROM {table})")
+# the bare sorts, without places: what the benchmark times
+add("sort_rows", lambda t: rel.sort_values(t.orders.select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"]), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY 2, 1")
+add("str_sort_rows", lambda t: rel.sort_values(t.customer.select("c_name"), "c_name"), "SELECT c_name FROM customer ORDER BY c_name")
 add("head", lambda t: rel.head(t.events.select("event_id", "value"), "event_id", 20), "SELECT event_id, value FROM events ORDER BY event_id LIMIT 20")
 add("tail", lambda t: rel.tail(t.events.select("event_id", "value"), "event_id", 20), "SELECT event_id, value FROM events ORDER BY event_id DESC LIMIT 20")
 add("sample", lambda t: rel.sample(t.events.select("event_id", "value"), "event_id", 50, 3), "SELECT event_id, value FROM events ORDER BY md5('3:' || event_id), event_id LIMIT 50")
