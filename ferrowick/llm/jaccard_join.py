@@ -148,7 +148,8 @@ def level_table(sets: DataFrame) -> np.ndarray:
         return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "levels": [cell.tobytes()]})
 
     table = np.zeros(1 << BUCKET_BITS, np.uint8)
-    for r in cells.groupBy("cell").applyInPandas(pack, "cell int, levels binary").toLocalIterator():
+    # one job, not one a partition; at most 2**BUCKET_BITS / CELL rows of CELL bytes, however large the input
+    for r in cells.groupBy("cell").applyInPandas(pack, "cell int, levels binary").collect():
         table[r["cell"] * CELL : (r["cell"] + 1) * CELL] = np.frombuffer(r["levels"], np.uint8)
     return table
 
