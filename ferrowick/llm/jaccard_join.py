@@ -3,13 +3,16 @@
 Equal sets are one class and are compared once. The sets' tokens (64-bit hashes of n words) get one
 global order, rare tokens first; two sets of similarity t share a token among the first
 n - ceil(t n) + 1 of each. Rareness is counted exactly over all classes, for the tokens in a
-fixed share of the hash space, and kept as a level per bucket in a table of fixed size; what the
-table does not know counts as frequent, so it only decides the order, never the result.
+fixed share of the hash space, and kept in tables that grow with the number of repeated tokens; what
+the tables do not know counts as frequent, so they only decide the order, never the result.
 
 * Tokens of few sets (at most FEW) have short lists; the sets of a list are compared directly.
 * Sets whose prefix reaches frequent tokens are partitioned into groups: by their rarest
   frequent token, then by size band, then into blocks of bounded volume. The token-group matrix
-  says which groups hold a prefix token; it pairs groups. For a pair, each set's overlap with
+  says which groups hold which parts of a set: tokens are dealt over more parts than two similar sets
+  have differing tokens, so such sets have all tokens of some part in common. Groups with a
+  common part are paired; one common token does not pair them. Of a pair the sets' sketches, a bit
+  for each hash value of a token, are compared first. If they allow a link, each set's overlap with
   the union of the other group's tokens bounds its overlap with any member. Only sets that pass
   are opened, and they are compared block by block as 0/1 matrices. A group of copies that holds
   a third of all rows becomes many blocks of one size, and each block pair returns a spanning
@@ -21,7 +24,9 @@ Links join classes to components.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
+from math import exp, log
 
 import numpy as np
 import pandas as pd
@@ -36,7 +41,10 @@ from .common import Workspace, components, free_name
 WORDS, PERCENT = 4, 85
 FEW = 8
 REGION = 0.35  # share of the hash space in which rareness is counted
-BUCKET_BITS, CELL = 24, 4096
+COUNTED = 24  # low bits of a token that counting leaves out
+BITS, LEVELS = (20, 29), (20, 25)  # least and greatest binary logarithm of the cells of the two tables
+CELL = 4096  # bytes of a table that one task packs
+DEALS = 32  # ways to deal a set's tokens over parts that are tried
 VOLUME = 150_000  # tokens of a block
 _MASK48 = np.uint64((1 << 48) - 1)
 
@@ -111,7 +119,7 @@ def _keys(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def set_table(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """(key, n, f1, f2, region): set size, fingerprint, and, for the first such set of a task, its
-    tokens in the counted region (upper 32 bits)."""
+    tokens in the counted region (upper 40 bits, so that few of a large corpus are the same)."""
     kind = dict(docs.dtypes)[key]
     top = np.uint64(int(REGION * 2**64))
 
@@ -126,38 +134,89 @@ def set_table(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 for s, f in zip(sets, prints, strict=True):
                     new = len(s) > 0 and f not in seen
                     seen.add(f)
-                    region.append((s[: np.searchsorted(s, top)] >> np.uint64(32)).astype(np.uint32).view(np.int32) if new else None)
-                cols = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array([f[i] for f in prints], pa.int64()) for i in (0, 1)), pa.array(region, pa.list_(pa.int32()))]
+                    region.append((s[: np.searchsorted(s, top)] >> np.uint64(COUNTED)).view(np.int64) if new else None)
+                cols = [pa.array([len(s) for s in sets], pa.int64()), *(pa.array([f[i] for f in prints], pa.int64()) for i in (0, 1)), pa.array(region, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["_key", "n", "f1", "f2", "region"])
 
-    return _keys(docs, key, text).mapInArrow(run, f"_key {kind}, n long, f1 long, f2 long, region array<int>")
+    return _keys(docs, key, text).mapInArrow(run, f"_key {kind}, n long, f1 long, f2 long, region array<long>")
 
 
-def level_table(sets: DataFrame) -> np.ndarray:
-    """For each bucket of tokens the greatest level among them: 0 for tokens of one class, 1 for up to
-    FEW classes, then one more for each doubling. Of fixed size (2**BUCKET_BITS bytes)."""
+def _log_cells(least: int, bounds: tuple[int, int]) -> int:
+    return min(max(max(least - 1, 0).bit_length(), bounds[0]), bounds[1])
+
+
+def _packed(cells: DataFrame, size: int, bits: bool) -> np.ndarray:
+    """A table of ``size`` bytes from rows (cell, level): the greatest level of each byte, or a bit for each cell."""
+    span = CELL * 8 if bits else CELL
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(span, np.uint8)
+        np.maximum.at(out, pdf["at"].to_numpy(), pdf["level"].to_numpy().astype(np.uint8))
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "data": [(np.packbits(out) if bits else out).tobytes()]})
+
+    table = np.zeros(size, np.uint8)
+    rows = cells.select((F.col("cell") / span).cast("int").alias("part"), (F.col("cell") % span).cast("int").alias("at"), "level")
+    # one job, not one a partition; at most size / CELL rows of CELL bytes
+    for r in rows.groupBy("part").applyInPandas(pack, "part int, data binary").collect():
+        table[r["part"] * CELL : (r["part"] + 1) * CELL] = np.frombuffer(r["data"], np.uint8)
+    return table
+
+
+class Levels:
+    """What is known of the tokens in the counted region: a bit per cell where a token of two or more classes falls, and
+    a byte per cell with the greatest level of the frequent ones. Levels are 0 for tokens of one class, 1 for up to
+    FEW classes, then one more for each doubling."""
+
+    def __init__(self, bits: np.ndarray, levels: np.ndarray):
+        self.bits, self.levels = bits, levels
+
+    def of(self, t: np.ndarray) -> np.ndarray:
+        at = t & np.uint64(len(self.bits) * 8 - 1)
+        seen = (self.bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & np.uint8(1)
+        level = self.levels[(t >> np.uint64(7)) & np.uint64(len(self.levels) - 1)]
+        return np.where(seen == 1, np.maximum(level, 1), 0).astype(np.uint8)
+
+
+def level_table(ws: Workspace, sets: DataFrame) -> Levels:
+    """The tables of ``Levels``, with four cells for each repeated token and sixteen for each frequent one, within BITS and LEVELS."""
     one = sets.where("region is not null").groupBy("f1", "f2").agg(F.first("region").alias("region"))
     counts = one.select(F.explode("region").alias("t")).groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
     level = F.least(F.when(F.col("c") <= FEW, 1).otherwise(F.ceil(F.log2(F.col("c") / FEW)) + 1), F.lit(30)).cast("int")
-    bucket = F.col("t").bitwiseAND((1 << BUCKET_BITS) - 1)
-    cells = counts.select((bucket / CELL).cast("int").alias("cell"), (bucket % CELL).alias("at"), level.alias("level")).groupBy("cell", "at").agg(F.max("level").alias("level"))
+    counts = ws.save(counts.select("t", level.alias("level")), "counts")
+    repeated, frequent = counts.agg(F.count("*"), F.count(F.when(F.col("level") > 1, 1))).first()
+    nb, nl = _log_cells(4 * repeated, BITS), _log_cells(16 * frequent, LEVELS)
+    cell = lambda t, n: t.bitwiseAND((1 << n) - 1)
+    bits = _packed(counts.select(cell(F.col("t"), nb).alias("cell"), F.lit(1).alias("level")), 1 << nb - 3, True)
+    levels = _packed(counts.where("level > 1").select(cell(F.shiftright("t", 7), nl).alias("cell"), "level"), 1 << nl, False)
+    ws.drop("counts")
+    return Levels(bits, levels)
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        cell = np.zeros(CELL, np.uint8)
-        cell[pdf["at"].to_numpy()] = pdf["level"].to_numpy()
-        return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "levels": [cell.tobytes()]})
-
-    table = np.zeros(1 << BUCKET_BITS, np.uint8)
-    # one job, not one a partition; at most 2**BUCKET_BITS / CELL rows of CELL bytes, however large the input
-    for r in cells.groupBy("cell").applyInPandas(pack, "cell int, levels binary").collect():
-        table[r["cell"] * CELL : (r["cell"] + 1) * CELL] = np.frombuffer(r["levels"], np.uint8)
-    return table
+
+def sketch(s: np.ndarray) -> bytes:
+    """A bit for each hash value of a token, for twice as many values as there are tokens, rounded up to a power of two and whole bytes."""
+    bits = np.zeros(max(8, 1 << (2 * len(s) - 1).bit_length()), np.uint8)
+    bits[(s >> np.uint64(16)) & np.uint64(len(bits) - 1)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def may_link(one: list[bytes], n1: np.ndarray, two: list[bytes], n2: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sketches of sets of sizes n1 and n2 allow a link of each with each: a bit that only one set has stands for a token that only it has."""
+    width = min(map(len, chain(one, two)))
+
+    def folded(all_bits: list[bytes]) -> np.ndarray:
+        rows = [np.bitwise_or.reduce(np.frombuffer(b, np.uint8).reshape(-1, width), axis=0) for b in all_bits]
+        return np.unpackbits(np.array(rows), axis=1).astype(np.float32)
+
+    x, y = folded(one), folded(two)
+    both = x @ y.T
+    most = np.minimum(n1[:, None] - x.sum(1)[:, None] + both, n2[None, :] - y.sum(1)[None, :] + both)
+    return (100 + percent) * most >= percent * (n1[:, None] + n2[None, :])
 
 
-def prefix_table(docs: DataFrame, key: str, text: str, words: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """One row per class that may have a partner: (f1, n, light, heavy, toks). light: prefix tokens of
-    2 to FEW classes; heavy: prefix tokens that are frequent or not counted; toks: the whole set,
-    six bytes a token."""
+def prefix_table(docs: DataFrame, key: str, text: str, words: int, percent: int, levels: Levels) -> DataFrame:
+    """One row per class that may have a partner: (f1, n, light, heavy, bits, toks). light: prefix tokens of
+    2 to FEW classes; heavy: the first prefix token that is frequent or not counted, if any; bits:
+    the set's sketch; toks: the whole set, six bytes a token."""
     cast = docs.sparkSession.sparkContext.broadcast(levels)
     top = np.uint64(int(REGION * 2**64))
 
@@ -172,22 +231,22 @@ def prefix_table(docs: DataFrame, key: str, text: str, words: int, percent: int,
                         continue
                     seen.add(f)
                     known = int(np.searchsorted(s, top))
-                    t32 = (s >> np.uint64(32)).astype(np.uint32)
+                    short = s >> np.uint64(COUNTED)
                     level = np.full(n, 31, np.uint8)
-                    level[:known] = levels[t32[:known] & np.uint32((1 << BUCKET_BITS) - 1)]
+                    level[:known] = levels.of(short[:known])
                     first = np.argsort(level, kind="stable")[: n - need(n, percent) + 1]  # by level, then hash
                     lv = level[first]
                     light, heavy = first[lv == 1], first[lv > 1]
                     if len(light) or len(heavy):
                         toks = np.ascontiguousarray(s & _MASK48).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                        rows.append((f[0], f[1], n, t32[light].view(np.int32), t32[heavy].view(np.int32), toks))
+                        rows.append((f[0], f[1], n, short[light].view(np.int64), int(short[heavy[0]]) if len(heavy) else None, sketch(s & _MASK48), toks))
                 if rows:
                     c = list(zip(*rows, strict=True))
-                    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(c, types, strict=True)], ["f1", "f2", "n", "light", "heavy", "toks"])
+                    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(c, types, strict=True)], ["f1", "f2", "n", "light", "heavy", "bits", "toks"])
 
-    rows = _keys(docs, key, text).mapInArrow(run, "f1 long, f2 long, n long, light array<int>, heavy array<int>, toks binary")
-    return rows.groupBy("f1", "f2").agg(*[F.first(c).alias(c) for c in ("n", "light", "heavy", "toks")]).drop("f2")
+    rows = _keys(docs, key, text).mapInArrow(run, "f1 long, f2 long, n long, light array<long>, heavy long, bits binary, toks binary")
+    return rows.groupBy("f1", "f2").agg(*[F.first(c).alias(c) for c in ("n", "light", "heavy", "bits", "toks")]).drop("f2")
 
 
 def _tokens(data: bytes) -> np.ndarray:
@@ -203,6 +262,16 @@ def light_links(ws: Workspace, sets: DataFrame, percent: int) -> DataFrame:
     each = F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, F.greatest(F.size("l") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     pairs = lists.select(F.explode(each).alias("p")).where(f"100 * least(p.x.n, p.y.n) >= {percent} * greatest(p.x.n, p.y.n)")
     pairs = ws.save(pairs.select(F.col("p.x.f1").alias("a"), F.col("p.y.f1").alias("b")).distinct(), "pairs")
+    t = sets.select("f1", "n", "bits")
+    drawn = pairs.join(t.toDF("a", "na", "x"), "a").join(t.toDF("b", "nb", "y"), "b").select("a", "b", "na", "x", "nb", "y")
+
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = zip(*[b.column(k).to_pylist() for k in (2, 3, 4, 5)], strict=True)
+            ok = [bool(may_link([x], np.array([n]), [y], np.array([m]), percent)[0, 0]) for n, x, m, y in cols]
+            yield b.filter(pa.array(ok, pa.bool_())).select([0, 1])
+
+    pairs = ws.save(drawn.mapInArrow(allowed, "a long, b long"), "allowed")
     t = sets.select("f1", "toks")
     both = pairs.join(t.select(F.col("f1").alias("a"), F.col("toks").alias("ta")), "a").join(t.select(F.col("f1").alias("b"), F.col("toks").alias("tb")), "b")
 
@@ -279,38 +348,92 @@ def group_pair_links(one: tuple, two: tuple, same: bool, percent: int) -> tuple[
     return a[keep], b[keep]
 
 
+@cache
+def _parts(band: int, percent: int) -> tuple[int, int]:
+    """Into how many parts the tokens of sets of this size band and the next are dealt, and how many of them similar sets have in common at least.
+
+    Similar sets differ in at most the smaller one's size times (100 - percent) / percent tokens. There are about as
+    many parts to spare as stay empty where the least sets are dealt by chance.
+    """
+    most = int(exp(log(100 / percent) * (1 + 1e-9) * (band + 1))) + 1  # no set of the band is larger
+    differ, spare = (100 - percent) * most // percent, 1
+    while (differ + spare) * exp(-most * percent / 100 / (differ + spare)) > spare - 0.5 and 2 * spare < differ:
+        spare += 1
+    return differ + spare, spare
+
+
+def part_names(s: np.ndarray, band: int, percent: int) -> np.ndarray:
+    """Names of the set's parts. Two similar sets, of one band or of neighbouring ones, have a name in common.
+
+    A set's parts for its own band and for the one below are named, as either may be the smaller set's. Empty
+    parts tell nothing. Where more are empty than similar sets are sure to share, the tokens are dealt once more, another
+    way: of two similar sets the first to have enough parts finds the other, which was dealt as often, among them.
+    """
+    out = []
+    for b in (band, band - 1):
+        if b < 0:
+            continue
+        parts, spare = _parts(b, percent)
+        for deal in range(DEALS):
+            salt = np.uint64((b * DEALS + deal + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+            h = _mix(s + salt)
+            part = h % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            part = part[order]
+            first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            out.append(_mix((np.add.reduceat(h[order], first) ^ salt) + part[first]))
+            if parts - len(first) < spare:
+                break
+        else:
+            out.append(np.array([b], np.uint64))  # all sets that no deal was good for share this name
+    return np.concatenate(out).view(np.int64)
+
+
 def heavy_links(ws: Workspace, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links, up to connection within a pair of groups, of classes that share a frequent prefix token."""
-    h = sets.where(F.size("heavy") > 0).select("f1", "n", "heavy", "toks", F.get("heavy", F.lit(0)).alias("g"), F.floor(F.log("n") / float(np.log(100 / percent) * (1 + 1e-9))).cast("int").alias("band"))  # sizes of similar sets are at most one band apart, rounding included
+    """(a, b): links, up to connection within a pair of groups, of classes that have a frequent prefix token."""
+    h = sets.where("heavy is not null").select("f1", "n", "bits", "toks", F.col("heavy").alias("g"), F.floor(F.log("n") / float(np.log(100 / percent) * (1 + 1e-9))).cast("int").alias("band"))  # sizes of similar sets are at most one band apart, rounding included
     h = ws.save(h, "heavy")
     volume = h.groupBy("g", "band").agg(F.ceil(F.sum("n") / VOLUME).alias("blocks"))
     h = h.join(volume, ["g", "band"]).withColumn("block", F.pmod(F.xxhash64("f1"), F.col("blocks")))
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.unique(np.concatenate([np.asarray(x, np.int32) for x in pdf["heavy"]]))
         first = pdf.iloc[0]
+        sig = np.unique(np.concatenate([part_names(_tokens(x), int(first["band"]), percent) for x in pdf["toks"]]))
         name = xxhash.xxh64_intdigest(f"{first['g']} {first['band']} {first['block']}") >> 1
-        return pd.DataFrame({"id": [name], "band": [first["band"]], "ids": [pdf["f1"].to_numpy(np.int64).tobytes()], "ns": [pdf["n"].to_numpy(np.int64).tobytes()], "toks": [b"".join(pdf["toks"])], "sig": [sig]})
+        return pd.DataFrame({"id": [name], "band": [first["band"]], "ids": [pdf["f1"].to_numpy(np.int64).tobytes()], "ns": [pdf["n"].to_numpy(np.int64).tobytes()], "bits": [list(pdf["bits"])], "toks": [b"".join(pdf["toks"])], "sig": [sig]})
 
     h = h.repartition("g", "band", "block")  # else the dealing by (g, band) that the join may leave would do, and a hot group be one task
-    groups = ws.save(h.groupBy("g", "band", "block").applyInPandas(gather, "id long, band int, ids binary, ns binary, toks binary, sig array<int>"), "groups")
-    matrix = groups.select("id", "band", F.explode("sig").alias("t"))
-    other = matrix.select(F.col("id").alias("id2"), F.col("band").alias("band2"), "t")
-    pairs = matrix.join(other, "t").where("id < id2 and abs(band - band2) <= 1").select("id", "id2").distinct()
-    pairs = ws.save(pairs.union(groups.select("id", F.col("id").alias("id2"))), "grouppairs")
+    groups = ws.save(h.groupBy("g", "band", "block").applyInPandas(gather, "id long, band int, ids binary, ns binary, bits array<binary>, toks binary, sig array<long>"), "groups")
+    matrix = groups.select("id", F.explode("sig").alias("part")).groupBy("part").agg(F.sort_array(F.collect_list("id")).alias("l"))
+    lists = matrix.where(F.size("l") > 1).select("l").distinct()  # copies give the same list for many parts
+    each = F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, F.greatest(F.size("l") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("id"), y.alias("id2")))))
+    pairs = lists.select(F.explode(each).alias("p")).select("p.id", "p.id2").distinct()
+    drawn = groups.select("id", "ns", "bits")
+    drawn = ws.save(pairs, "drawn").join(drawn, "id").join(drawn.toDF("id2", "ns2", "bits2"), "id2").select("id", "id2", "ns", "bits", "ns2", "bits2")
+
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for i in range(b.num_rows):
+                n1, one, n2, two = (b.column(k)[i].as_py() for k in (2, 3, 4, 5))
+                ok.append(bool(may_link(one, np.frombuffer(n1, np.int64), two, np.frombuffer(n2, np.int64), percent).any()))
+            yield b.filter(pa.array(ok, pa.bool_())).select([0, 1])
+
+    pairs = ws.save(drawn.mapInArrow(allowed, "id long, id2 long"), "grouppairs")
     body = groups.select("id", "ids", "ns", "toks")
     both = pairs.join(body, "id").join(body.withColumnsRenamed({"id": "id2", "ids": "ids2", "ns": "ns2", "toks": "toks2"}), "id2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                v = [b.column(k)[i].as_py() for k in range(8)]
-                one, two = ((np.frombuffer(x, np.int64), np.frombuffer(n, np.int64), _tokens(t)) for x, n, t in (v[2:5], v[5:8]))
-                x, y = group_pair_links(one, two, v[0] == v[1], percent)
+                v = [c[i].as_py() for c in b.columns]
+                one, *two = [(np.frombuffer(x, np.int64), np.frombuffer(n, np.int64), _tokens(t)) for x, n, t in (v[k : k + 3] for k in range(0, len(v), 3))]
+                x, y = group_pair_links(one, *(two or [one]), not two, percent)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
-    picked = both.select("id", "id2", "ids", "ns", "toks", "ids2", "ns2", "toks2").repartition("id", "id2")
-    return picked.mapInArrow(run, "a long, b long")
+    within = body.where(F.length("ns") > 8).select("ids", "ns", "toks")  # of two sets or more
+    across = both.select("ids", "ns", "toks", "ids2", "ns2", "toks2")
+    return within.mapInArrow(run, "a long, b long").union(across.mapInArrow(run, "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -328,8 +451,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     shingles in two compared sets two share 48 with odds of about n*n / 2**49.
     """
     ws = Workspace(docs.sparkSession, "jaccard")
-    sets = ws.save(set_table(docs, key, text, words), "sets", "snappy")
-    levels = level_table(sets)
+    sets = ws.save(set_table(docs, key, text, words), "sets")
+    levels = level_table(ws, sets)
     sets = ws.save(sets.drop("region"), "prints")
     ws.drop("sets")
     prefixes = ws.save(prefix_table(docs, key, text, words, percent, levels), "prefixes", "snappy")

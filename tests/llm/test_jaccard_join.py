@@ -79,3 +79,37 @@ def test_group_pairs_agree_with_all_pairs():
 
 def test_empty(spark):
     assert J.jaccard_components(spark.createDataFrame([], "doc_id long, text string, n int, f1 int")).count() == 0
+
+
+def test_similar_sets_have_a_part_and_their_sketches_allow_the_link():
+    rng = np.random.default_rng(3)
+    for percent in (85, 80):
+        band = lambda s: int(np.floor(np.log(len(s)) / (np.log(100 / percent) * (1 + 1e-9))))
+        for n in [*range(1, 30), 60, 150, 700]:
+            for _ in range(8):
+                x = np.unique(rng.integers(0, 1 << 48, n).astype(np.uint64))
+                gone = int(rng.integers(0, len(x) * (100 - percent) // 100 + 1))
+                new = max(0, (100 * (len(x) - gone)) // percent - len(x))  # as different as a link allows
+                y = np.unique(np.concatenate([rng.permutation(x)[gone:], rng.integers(0, 1 << 48, new).astype(np.uint64)]))
+                assert 100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y))
+                assert np.intersect1d(J.part_names(x, band(x), percent), J.part_names(y, band(y), percent)).size
+                assert J.may_link([J.sketch(x)], np.array([len(x)]), [J.sketch(y)], np.array([len(y)]), percent).all()
+
+
+def test_sets_that_no_deal_suits_are_still_paired(monkeypatch):
+    monkeypatch.setattr(J, "DEALS", 0)
+    x = np.arange(9, dtype=np.uint64)
+    assert np.intersect1d(J.part_names(x, 13, 85), J.part_names(x[1:], 12, 85)).size
+
+
+def test_level_tables_grow_with_the_repeated_tokens(spark, monkeypatch):
+    from ferrowick.llm.common import Workspace
+
+    monkeypatch.setattr(J, "BITS", (10, 29))
+    tokens = np.random.default_rng(5).choice(1 << 38, 30_000, replace=False)
+    often, twice, once = tokens[:100], tokens[100:10_000], tokens[10_000:]
+    rows = [(k, k, np.concatenate([often, twice if k < 2 else [], once[k * 2000 : k * 2000 + 2000]]).astype(int).tolist()) for k in range(10)]
+    levels = J.level_table(Workspace(spark, "levels"), spark.createDataFrame(rows, "f1 long, f2 long, region array<long>"))
+    of = lambda t: levels.of(np.asarray(t).astype(np.uint64))
+    assert (of(often) >= 2).all() and (of(twice) >= 1).all()
+    assert (of(twice) == 1).mean() > 0.9 and (of(once) == 0).mean() > 0.7
