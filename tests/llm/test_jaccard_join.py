@@ -113,3 +113,22 @@ def test_level_tables_grow_with_the_repeated_tokens(spark, monkeypatch):
     of = lambda t: levels.of(np.asarray(t).astype(np.uint64))
     assert (of(often) >= 2).all() and (of(twice) >= 1).all()
     assert (of(twice) == 1).mean() > 0.9 and (of(once) == 0).mean() > 0.7
+
+
+def test_groups_that_share_passages_only_are_not_opened(spark, monkeypatch):
+    from ferrowick.llm.common import Workspace
+
+    rng = random.Random(8)
+    passages = [[f"p{k}w{i}" for i in range(25)] for k in range(40)]
+    rows = [(k, " ".join(w for p in rng.sample(passages, 6) for w in p)) for k in range(150)]
+    rows += [(150 + k, rows[k][1] + " more") for k in range(5)]
+    save, made = Workspace.save, {}
+
+    def counted(ws, df, name, codec="zstd"):
+        out = save(ws, df, name, codec)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Workspace, "save", counted)
+    assert got(spark, rows) == brute(rows)
+    assert made["heavy"] >= 100 and made["grouppairs"] < 40
