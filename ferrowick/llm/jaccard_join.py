@@ -10,9 +10,11 @@ the tables do not know counts as frequent, so they only decide the order, never
 * Sets whose prefix reaches frequent tokens are partitioned into groups: by their rarest
   frequent token, then by size band, then into blocks of bounded volume. The token-group matrix
   says which groups hold which parts of a set: tokens are dealt over more parts than two similar sets
-  have differing tokens, so such sets have all tokens of some part in common. Groups with a
-  common part are paired; one common token does not pair them. Of a pair the sets' sketches, a bit
-  for each hash value of a token, are compared first. If they allow a link, each set's overlap with
+  have differing tokens, so such sets have all tokens of some part in common. The groups that hold a
+  part are a list; texts that share a passage only make long lists, so a list's groups are not paired
+  but come together with their sets' parities, bits that each token flips one of, and a pair
+  is made where these allow a link. Of a pair the sets' sketches, a bit
+  for each hash value of a token, are compared next. If they allow a link, each set's overlap with
   the union of the other group's tokens bounds its overlap with any member. Only sets that pass
   are opened, and they are compared block by block as 0/1 matrices. A group of copies that holds
   a third of all rows becomes many blocks of one size, and each block pair returns a spanning
@@ -46,6 +48,8 @@ BITS, LEVELS = (20, 29), (20, 25)  # least and greatest binary logarithm of the
 CELL = 4096  # bytes of a table that one task packs
 DEALS = 32  # ways to deal a set's tokens over parts that are tried
 VOLUME = 150_000  # tokens of a block
+PARITY = 4096  # bytes of parities that a group brings along; groups with more are paired with all of their lists
+COMPARED = 1 << 19  # 64-bit words of parities that are compared at once
 _MASK48 = np.uint64((1 << 48) - 1)
 
 
@@ -213,6 +217,40 @@ def may_link(one: list[bytes], n1: np.ndarray, two: list[bytes], n2: np.ndarray,
     return (100 + percent) * most >= percent * (n1[:, None] + n2[None, :])
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Whether an odd number of tokens has a hash value, for each of as many values as there are tokens, rounded up to a power of two and 64."""
+    bits = max(64, 1 << (len(s) - 1).bit_length())
+    at = (s >> np.uint64(16)) & np.uint64(bits - 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def alike(sizes: list[np.ndarray], parities: list[list[bytes] | None], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i < j) of groups that some of their sets' parities allow to be linked, by parts; a group without parities goes with all others.
+
+    Each token that only one of two sets has changes one bit at most, so the sets have no fewer such tokens than differing bits.
+    """
+    known = np.array([p is not None for p in parities], bool)
+    for i in np.flatnonzero(~known):
+        j = np.flatnonzero(known | (np.arange(len(known)) > i))
+        if len(j):
+            yield np.minimum(i, j), np.maximum(i, j)
+    if known.sum() < 2:
+        return
+    mine = [k for k in np.flatnonzero(known) for _ in parities[k]]
+    owner, n = np.array(mine), np.concatenate([sizes[k] for k in np.flatnonzero(known)])
+    data = [b for p in parities if p is not None for b in p]
+    width = min(map(len, data))
+    words = np.array([np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, width // 8), axis=0) for b in data])
+    step = max(1, COMPARED // words.size)
+    for s in range(0, len(words), step):
+        differ = np.bitwise_count(words[s : s + step, None] ^ words[None, s:]).sum(2, dtype=np.int64)
+        differ = np.maximum(differ, np.abs(n[s : s + step, None] - n[None, s:]))
+        x, y = np.nonzero((100 + percent) * differ <= (100 - percent) * (n[s : s + step, None] + n[None, s:]))
+        x, y = owner[x + s], owner[y + s]  # in the groups' order
+        if (ok := x < y).any():
+            yield tuple(np.unique(np.stack([x[ok], y[ok]]), axis=1))
+
+
 def prefix_table(docs: DataFrame, key: str, text: str, words: int, percent: int, levels: Levels) -> DataFrame:
     """One row per class that may have a partner: (f1, n, light, heavy, bits, toks). light: prefix tokens of
     2 to FEW classes; heavy: the first prefix token that is frequent or not counted, if any; bits:
@@ -398,16 +436,31 @@ def heavy_links(ws: Workspace, sets: DataFrame, percent: int) -> DataFrame:
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
-        sig = np.unique(np.concatenate([part_names(_tokens(x), int(first["band"]), percent) for x in pdf["toks"]]))
+        sets = [_tokens(x) for x in pdf["toks"]]
+        sig = np.unique(np.concatenate([part_names(x, int(first["band"]), percent) for x in sets]))
+        odd = [parity(x) for x in sets]
+        odd = odd if sum(map(len, odd)) <= PARITY else None
         name = xxhash.xxh64_intdigest(f"{first['g']} {first['band']} {first['block']}") >> 1
-        return pd.DataFrame({"id": [name], "band": [first["band"]], "ids": [pdf["f1"].to_numpy(np.int64).tobytes()], "ns": [pdf["n"].to_numpy(np.int64).tobytes()], "bits": [list(pdf["bits"])], "toks": [b"".join(pdf["toks"])], "sig": [sig]})
+        return pd.DataFrame({"id": [name], "band": [first["band"]], "ids": [pdf["f1"].to_numpy(np.int64).tobytes()], "ns": [pdf["n"].to_numpy(np.int64).tobytes()], "bits": [list(pdf["bits"])], "odd": [odd], "toks": [b"".join(pdf["toks"])], "sig": [sig]})
 
     h = h.repartition("g", "band", "block")  # else the dealing by (g, band) that the join may leave would do, and a hot group be one task
-    groups = ws.save(h.groupBy("g", "band", "block").applyInPandas(gather, "id long, band int, ids binary, ns binary, bits array<binary>, toks binary, sig array<long>"), "groups")
+    groups = ws.save(h.groupBy("g", "band", "block").applyInPandas(gather, "id long, band int, ids binary, ns binary, bits array<binary>, odd array<binary>, toks binary, sig array<long>"), "groups")
     matrix = groups.select("id", F.explode("sig").alias("part")).groupBy("part").agg(F.sort_array(F.collect_list("id")).alias("l"))
     lists = matrix.where(F.size("l") > 1).select("l").distinct()  # copies give the same list for many parts
-    each = F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, F.greatest(F.size("l") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("id"), y.alias("id2")))))
-    pairs = lists.select(F.explode(each).alias("p")).select("p.id", "p.id2").distinct()
+    lists = lists.select(F.xxhash64("l").alias("k"), F.explode("l").alias("id"))  # lists of one hash are one longer list
+    own = groups.select("id", F.when(F.col("odd").isNotNull(), F.col("ns")).alias("ns"), "odd")
+    lists = ws.save(lists, "lists").join(own, "id").groupBy("k").agg(F.collect_list(F.struct("id", "ns", "odd")).alias("l"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                l = b.column(0)[k].as_py()
+                ids = np.array([g["id"] for g in l], np.int64)
+                for x, y in alike([np.frombuffer(g["ns"] or b"", np.int64) for g in l], [g["odd"] for g in l], percent):
+                    x, y = ids[x], ids[y]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["id", "id2"])
+
+    pairs = lists.select("l").mapInArrow(draw, "id long, id2 long").where("id < id2").distinct()
     drawn = groups.select("id", "ns", "bits")
     drawn = ws.save(pairs, "drawn").join(drawn, "id").join(drawn.toDF("id2", "ns2", "bits2"), "id2").select("id", "id2", "ns", "bits", "ns2", "bits2")
 

@@ -132,3 +132,51 @@ def test_groups_that_share_passages_only_are_not_opened(spark, monkeypatch):
     monkeypatch.setattr(Workspace, "save", counted)
     assert got(spark, rows) == brute(rows)
     assert made["heavy"] >= 100 and made["grouppairs"] < 40
+
+
+def test_parities_allow_all_links():
+    rng = np.random.default_rng(6)
+    for percent in (85, 80):
+        for n in [*range(1, 20), 64, 65, 300, 700]:
+            x = np.unique(rng.integers(0, 1 << 48, n).astype(np.uint64))
+            gone = int(rng.integers(0, len(x) * (100 - percent) // 100 + 1))
+            new = max(0, (100 * (len(x) - gone)) // percent - len(x))  # as different as a link allows
+            y = np.unique(np.concatenate([rng.permutation(x)[gone:], rng.integers(0, 1 << 48, new).astype(np.uint64)]))
+            assert 100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y))
+            other = [np.unique(rng.integers(0, 1 << 48, n + 40).astype(np.uint64)) for _ in range(3)]
+            groups = [[other[0], x], None, [other[1]], [y, other[2]], None]
+            sizes = [np.array([len(s) for s in g or []], np.int64) for g in groups]
+            found = {p for a, b in J.alike(sizes, [g and [J.parity(s) for s in g] for g in groups], percent) for p in np.broadcast(a, b)}
+            assert {(0, 3), (0, 1), (1, 2), (1, 3), (0, 4), (1, 4), (2, 4), (3, 4)} <= found and all(a < b for a, b in found)
+            assert n < 64 or not found & {(0, 2), (2, 3)}
+
+
+def test_parities_are_compared_by_parts(monkeypatch):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 48, 90).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(90) > 0.08], rng.integers(0, 1 << 48, 3).astype(np.uint64)])) for _ in range(30)]
+    pairs = lambda: {p for a, b in J.alike([np.array([len(s)]) for s in sets], [[J.parity(s)] for s in sets], 80) for p in np.broadcast(a, b)}
+    whole = pairs()
+    monkeypatch.setattr(J, "COMPARED", 100)
+    assert whole and pairs() == whole
+
+
+def test_texts_with_one_passage_in_common_are_not_paired(spark, monkeypatch):
+    from ferrowick.llm.common import Workspace
+
+    monkeypatch.setattr(J, "VOLUME", 200)  # a block for each set or two
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(90)]
+    edited = lambda: [f"e{rng.randint(0, 99999)}" if rng.random() < 0.02 else w for w in passage]
+    rows = [(k, " ".join(edited() + [f"o{k}w{i}" for i in range(40)])) for k in range(160)]
+    rows += [(160 + k, rows[k][1] + " more") for k in range(5)]
+    save, made = Workspace.save, {}
+
+    def counted(ws, df, name, codec="zstd"):
+        out = save(ws, df, name, codec)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Workspace, "save", counted)
+    assert got(spark, rows) == brute(rows)
+    assert made["drawn"] < 200 and made["heavy"] >= 100
