@@ -101,6 +101,7 @@ TIES = {
     "pct_change_neg_3": {1: 118.66, 2: 5.0, 4: 12.8, 5: 0.0, 7: None, 8: 3.0},
     "pct_change": {1: 12.8, 2: 118.66, 4: 0.0, 5: 3.0},
     "pct_change_2": {2: 12.8, 4: 118.66, 5: 0.0, 7: 3.0},
+    "pct_change_neg_1": {1: 118.66, 2: 12.8, 4: 3.0, 5: 0.0},
 }
 
 
